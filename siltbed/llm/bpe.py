@@ -186,3 +186,17 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([doc_id, pa.array(n, pa.int64()), pa.array(enc), pa.array(dec)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return text_columns(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def round_trips(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids, and whether decoding the ids gives the text's bytes again."""
+
+    def run(it):
+        pairs = tokenizer(path, pattern)
+        for batch in it:
+            rows = [pairs.encode(t.as_py()) for t in batch.column("text")]
+            same = [pairs.decode(x) == t.as_py().encode() for x, t in zip(rows, batch.column("text"))]
+            doc_id = pc.if_else(batch.column("is_null"), pa.scalar(None, pa.int64()), batch.column("doc_id"))
+            yield pa.RecordBatch.from_arrays([doc_id, pa.array([len(x) for x in rows], pa.int64()), pa.array(rows, pa.list_(pa.int32())), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "round_trip"])
+
+    return text_columns(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")

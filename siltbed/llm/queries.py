@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltbed.llm import bpe, fingerprint, jaccard, langid, licences, lines, quality, shards
+from siltbed.llm import bpe, decontaminate, fingerprint, jaccard, langid, licences, lines, quality, repeats, shards
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,11 +31,19 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_line_field_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), fold(3, 1)
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"), held_out), held_out)
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(table(spark, sf_dir, "documents"))
 
@@ -54,7 +62,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    every = [op1_byte_bpe, op2_ngram_jaccard_join, op3_fingerprints, op5_line_field_quality, op7_hilbert_shards, op8_line_dedup, op9_licence_scan, op10_language_id]
+    every = [op1_byte_bpe, op2_ngram_jaccard_join, op3_fingerprints, op4_decontamination, op5_line_field_quality, op6_repeats, op7_hilbert_shards, op8_line_dedup, op9_licence_scan, op10_language_id]
     return {f.__name__: f for f in every}
 
 
