@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that a task works on at once; a longer document is worked on alone.
 CHUNK = 1 << 19
 #: Bytes that a map task gathers before it sends its blobs.
-FLUSH = 48 << 20
+FLUSH = 16 << 20
 NULL_ID = np.iinfo(np.int64).min
 U = np.uint64
 

@@ -40,6 +40,8 @@ from siltbed.llm.common import EXCHANGE, FLUSH, U, batches, blobs_by_bucket, buc
 EXTEND = 16
 #: Homes of a class's verifications.
 SALT = 8
+#: Bytes of shingles or signatures that a task gathers, and counts or thins out together.
+GATHER = 48 << 20
 
 
 def sets_of(data, off, n):
@@ -86,7 +88,7 @@ def frequent(docs: DataFrame, n: int, least: int, parts: int) -> np.ndarray:
         for _, _, h, *_ in chunks_of_sets(it, n):
             waiting.append(h)
             size += h.nbytes
-            if size > FLUSH:
+            if size > GATHER:
                 yield from batches(rows())
                 waiting, size = [], 0
         if waiting:
@@ -202,7 +204,7 @@ def links(docs: DataFrame, n: int, percent: int) -> DataFrame:
             if len(sig):
                 held.append((sig, fp[doc], np.diff(edges)[doc].astype(np.uint32), need.astype(np.uint16)))
                 size += len(sig) * 22
-            if size > FLUSH:
+            if size > GATHER:
                 yield from batches(rows())
                 held, size = [], 0
         if held:

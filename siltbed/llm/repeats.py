@@ -38,7 +38,7 @@ LENGTH, GRAM = 100, 32
 #: Kinds of blobs, in the order in which a bucket reads them.
 SPANS, FRAGMENTS, TEXTS = 0, 1, 5
 #: Bytes of a text that are searched for anchors at once, and suffixes that are sorted at once.
-SEGMENT, SUFFIXES = 1 << 20, 150_000
+SEGMENT, SUFFIXES = 1 << 19, 60_000
 _LOW = U((1 << 22) - 1)
 
 
