@@ -197,7 +197,7 @@ def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, int]:
             repeat = gone[~same]
             yield from out.add(ids[doc[repeat]], thash[doc[repeat]], pos[repeat], count[repeat] + length - 1)
             keep = np.sort(order[~again])
-            by = bucket_of(h[keep], parts)
+            by = bucket_of(mix(h[keep]), parts)  # anchors are minima: their own high bits are uneven
             sort = np.argsort(by, kind="stable")
             edges = np.searchsorted(by[sort], np.arange(parts + 1))
             for b in np.flatnonzero(np.diff(edges)):
