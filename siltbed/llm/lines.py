@@ -78,7 +78,9 @@ def bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOC
     bits, one for each line, 1 to keep, first line in the highest bit. doc_id is NULL_ID for null."""
     n = buckets(docs.sparkSession)
     order = [F.col("key"), F.col("doc_id").desc(), F.col("thash")]
-    rows = checkpointed(occurrences(docs, min_chars).repartitionByRange(n, *order).sortWithinPartitions(*order))
+    # written first: range partitioning reads its input twice, to sample the limits and to deal it out
+    found = checkpointed(occurrences(docs, min_chars))
+    rows = checkpointed(found.repartitionByRange(n, *order).sortWithinPartitions(*order))
 
     def edges(it):
         """Of the first and the last key of the partition: up to min_docs documents, largest first."""
