@@ -23,9 +23,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from siltbed.llm.common import text_columns
+from siltbed.llm.common import runs, text_columns, trim, views
 
-CACHED = 600_000
+CACHED = 400_000
 CACHED_BYTES = 64
 
 
@@ -173,6 +173,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     decoding the ids gives. Encodes and decodes in one pass, document by document."""
 
     def run(it):
+        trim()
         pairs = tokenizer(path, pattern)
         decimal = {i: str(i) for i in pairs.bytes}.__getitem__
         for batch in it:
@@ -192,8 +193,10 @@ def round_trips(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids, and whether decoding the ids gives the text's bytes again."""
 
     def run(it):
+        trim()
         pairs = tokenizer(path, pattern)
-        for batch in it:
+        parts = (batch.slice(lo, hi - lo) for batch in it if batch.num_rows for lo, hi in runs(views(batch.column("text"))[1], 2 << 20))
+        for batch in parts:
             rows = [pairs.encode(t.as_py()) for t in batch.column("text")]
             same = [pairs.decode(x) == t.as_py().encode() for x, t in zip(rows, batch.column("text"))]
             doc_id = pc.if_else(batch.column("is_null"), pa.scalar(None, pa.int64()), batch.column("doc_id"))

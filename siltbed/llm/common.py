@@ -12,6 +12,9 @@ follows `spark.sql.shuffle.partitions`, so it grows with the input as every shuf
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -42,6 +45,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def trim() -> None:
+    """Gives memory that a reused worker's earlier tasks have freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # ---------------------------------------------------------------- byte views
 
 def text_columns(docs: DataFrame) -> DataFrame:
