@@ -116,7 +116,8 @@ class Signer:
         return int(np.log(s) / np.log(100 / self.percent) + 1e-9)
 
     def classes(self, level: int) -> int:
-        return max(4, int(0.04 * (100 / self.percent) ** level))
+        size = (100 / self.percent) ** level
+        return max(4, int(0.04 * size)) if size >= 32 else 1  # small sets have no shingles to spare for more
 
     def sign(self, h, edges, doc_of_set):
         """(signature, document, shared): signatures of the sets doc_of_set, and how many of a
@@ -126,9 +127,7 @@ class Signer:
         common = self.often[at] == h if len(self.often) else np.zeros(len(h), bool)
         sig, doc, need = [], [], []
         for d, s in zip(doc_of_set.tolist(), sizes.tolist()):
-            m = self.missing(s)
-            if not m:  # only an equal set can link
-                continue
+            m = self.missing(s)  # of 0, a partner holds the whole set and more
             own, often = h[edges[d] : edges[d + 1]], common[edges[d] : edges[d + 1]]
             rare = own if not often.any() else own[~often]
             if len(rare) > m:
@@ -366,6 +365,8 @@ def links(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id that links lead to, of every document."""
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be over 50 and at most 100")
     docs = docs.select("doc_id", "text")
     rows = members(docs, n)
     found = components(links(docs, n, percent))
