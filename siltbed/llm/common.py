@@ -18,7 +18,7 @@ import ctypes
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at once; a longer document is worked on alone.
@@ -54,13 +54,18 @@ def trim() -> None:
 
 # ---------------------------------------------------------------- byte views
 
+def text_hash(text: Column) -> Column:
+    """The hash that tells rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def text_columns(docs: DataFrame) -> DataFrame:
     """doc_id, is_null (of doc_id), thash (64-bit hash of the text) and text, null texts as empty."""
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     return docs.select(
         F.coalesce(docs["doc_id"].cast("long"), F.lit(int(NULL_ID))).alias("doc_id"),
         docs["doc_id"].isNull().alias("is_null"),
-        F.xxhash64(text).alias("thash"),
+        text_hash(docs["text"]).alias("thash"),
         text.alias("text"),
     )
 

@@ -24,8 +24,8 @@ The frequent shingles are broadcast: at most (sum of set sizes) / limit <= 5000
 however many documents there are.
 
 Defined cases: documents without words (or text) have no set and link with nothing; one with fewer
-than n words has its whole sequence as its one shingle; repeated rows link as equal sets; null ids
-are given back with a null component and link with nothing.
+than n words has its whole sequence as its one shingle; repeated rows link as equal sets; rows with
+null ids are given back with a null component, link with nothing and lead to nothing.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import EXCHANGE, FLUSH, U, batches, blobs_by_bucket, bucket_of, buckets, components, distinct, document_batches, exchanged, freeze, joined, mix, nullable_ids, pack, runs, shingles, text_columns, thaw
+from siltbed.llm.common import EXCHANGE, FLUSH, U, batches, blobs_by_bucket, bucket_of, buckets, checkpointed, components, distinct, document_batches, exchanged, freeze, joined, mix, nullable_ids, pack, runs, shingles, text_columns, text_hash, thaw
 
 EXTEND = 16
 #: Homes of a class's verifications.
@@ -60,17 +60,17 @@ def chunks_of_sets(it, n):
     for ids, null, thash, data, off in document_batches(it):
         for lo, hi in runs(off):
             h, edges, fp = sets_of(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n)
-            yield (ids[lo:hi], null[lo:hi], h, edges, fp, data, off[lo : hi + 1])
+            yield (ids[lo:hi], null[lo:hi], thash[lo:hi], h, edges, fp, data, off[lo : hi + 1])
 
 
 def members(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, is_null, n_shingles, fp) by document."""
+    """(doc_id, thash, n_shingles, fp) by row."""
 
     def run(it):
-        for ids, null, _, edges, fp, _, _ in chunks_of_sets(it, n):
-            yield pa.RecordBatch.from_arrays([nullable_ids(ids, null), pa.array(np.diff(edges), pa.int64()), pa.array(fp.view(np.int64))], ["doc_id", "n_shingles", "fp"])
+        for ids, null, thash, _, edges, fp, _, _ in chunks_of_sets(it, n):
+            yield pa.RecordBatch.from_arrays([nullable_ids(ids, null), pa.array(thash), pa.array(np.diff(edges), pa.int64()), pa.array(fp.view(np.int64))], ["doc_id", "thash", "n_shingles", "fp"])
 
-    return text_columns(docs).mapInArrow(run, "doc_id long, n_shingles long, fp long")
+    return text_columns(docs).mapInArrow(run, "doc_id long, thash long, n_shingles long, fp long")
 
 
 def frequent(docs: DataFrame, n: int, least: int, parts: int) -> np.ndarray:
@@ -85,7 +85,7 @@ def frequent(docs: DataFrame, n: int, least: int, parts: int) -> np.ndarray:
             for b, blob in pack({"t": token, "n": times.astype(np.uint32)}, bucket_of(token, parts), parts):
                 yield b, 0, blob
 
-        for _, _, h, *_ in chunks_of_sets(it, n):
+        for _, _, _, h, *_ in chunks_of_sets(it, n):
             waiting.append(h)
             size += h.nbytes
             if size > GATHER:
@@ -192,7 +192,7 @@ def links(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 yield b, 0, blob
 
         known = set()
-        for _, _, h, edges, fp, _, _ in chunks_of_sets(it, n):
+        for _, _, _, h, edges, fp, _, _ in chunks_of_sets(it, n):
             fresh = np.array([i for i, x in enumerate(fp.tolist()) if x not in known and not known.add(x)], np.int64)
             if len(known) > 2_000_000:
                 known.clear()
@@ -277,7 +277,7 @@ def links(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 own = np.flatnonzero(by == b)
                 yield int(b), 1, freeze({"fp": fp[own], "len": np.array([len(held[i][1]) for i in own], np.int64), "data": np.frombuffer(b"".join(held[i][1] for i in own), np.uint8)}, 3)
 
-        for _, _, _, edges, fp, data, off in chunks_of_sets(it, n):
+        for _, _, _, _, edges, fp, data, off in chunks_of_sets(it, n):
             for i in np.flatnonzero(np.diff(edges)):
                 if (name := int(fp[i])) not in known:
                     known.add(name)
@@ -363,21 +363,45 @@ def links(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return exchanged(met, parts).mapInArrow(verify, "u long, v long")
 
 
-def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id, the smallest doc_id that links lead to, of every document."""
+def grouped(docs: DataFrame, n: int, percent: int, counted: bool) -> DataFrame:
+    """doc_id, thash, n_shingles, first (doc_id and thash of the group's first row) and n_links of
+    every row; first is null for rows without an id or words, n_links where not counted."""
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
     docs = docs.select("doc_id", "text")
-    rows = members(docs, n)
-    found = components(links(docs, n, percent))
-    placed = rows.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").select("doc_id", "n_shingles", F.coalesce("component", "fp").alias("class"))
-    least = placed.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-    return placed.join(least, "class", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))).alias("component_id"))
+    rows = checkpointed(members(docs, n))  # numbers only; several steps read them
+    sets = rows.where("doc_id is not null and n_shingles > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "thash")).alias("head"), F.count(F.lit(1)).alias("copies"))
+    pairs = links(docs.where("doc_id is not null"), n, percent)
+    if counted:
+        pairs = checkpointed(pairs)
+    found = components(pairs).select(F.col("node").alias("fp"), "component")
+    classed = sets.join(found, "fp", "left").select("fp", "head", "copies", F.coalesce("component", "fp").alias("class"))
+    heads = classed.groupBy("class").agg(F.min("head").alias("first"))
+    # the groups meet sets, not rows: copies are then one row here
+    told = classed.join(heads, "class").select("fp", "first", "copies")
+    partners = F.lit(0)
+    if counted:
+        ways = pairs.select(F.col("u").alias("fp"), F.col("v").alias("other")).union(pairs.select("v", "u"))
+        sums = ways.join(sets.select(F.col("fp").alias("other"), "copies"), "other").groupBy("fp").agg(F.sum("copies").alias("partners"))
+        told, partners = told.join(sums, "fp", "left"), F.coalesce("partners", F.lit(0))
+    told = told.select("fp", "first", (F.col("copies") - 1 + partners if counted else F.lit(None).cast("long")).alias("n_links"))
+    own = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    return rows.join(told, "fp", "left").select("doc_id", "thash", "n_shingles", F.when(own, F.col("first")).alias("first"), F.when(own, F.col("n_links")).alias("n_links"))
+
+
+def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id that links lead to) and n_links (how many
+    other rows it links with, copies included) of every row."""
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("first.doc_id", "doc_id"))
+    return grouped(docs, n, percent, True).select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, all columns, that are the first of their group; rows without an id stay."""
-    groups = join(docs, n, percent)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    named = docs.where("doc_id is not null").join(keep, docs["doc_id"] == keep["_keep"], "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """The rows of docs, all columns, that are the first of their group by doc_id and hash of the text;
+    rows equal in both are one, rows without an id stay."""
+    first = F.col("first").isNull() | ((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.thash") == F.col("thash")))
+    keep = grouped(docs, n, percent, False).where("doc_id is not null").where(first).select(F.col("doc_id").alias("_keep"), F.col("thash").alias("_keep_hash")).distinct()
+    mark = "_" * (1 + max(map(len, docs.columns)))  # no column of docs has this name
+    named = docs.where("doc_id is not null").withColumn(mark, text_hash(docs["text"]))
+    named = named.join(keep, (named["doc_id"] == keep["_keep"]) & (named[mark] == keep["_keep_hash"]), "left_semi")
+    return named.dropDuplicates(["doc_id", mark]).drop(mark).unionByName(docs.where("doc_id is null"))

@@ -59,24 +59,50 @@ def test_bpe(docs, rows, none):
 
 
 def linked(rows, n, percent):
-    sets = {}
+    """Per row: id, set size, component, links with other rows."""
+    sets = []
     for i, t in rows:
         w = (t or "").encode().lower().split()
-        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
-    uf = common.UnionFind()
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+        sets.append((i, {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} or ({tuple(w)} if w else set())))
+    uf, links = common.UnionFind(), collections.Counter()
+    for k, (a, x) in enumerate(sets):
+        for m, (b, y) in enumerate(sets[:k]):
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
                 uf.union(a, b)
-    return {i: (len(s), uf.find(i)) for i, s in sets.items()}
+                links.update((k, m))
+    return sorted((i, len(s), uf.find(i), links[k]) for k, (i, s) in enumerate(sets))
+
+
+def joined(docs, n, percent):
+    return sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard.join(docs, n, percent).collect())
 
 
 @pytest.mark.parametrize("n, percent", [(4, 85), (5, 80)])
 def test_join(docs, rows, none, n, percent):
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs, n, percent).collect()} == linked(rows, n, percent)
+    assert joined(docs, n, percent) == linked(rows, n, percent)
     assert jaccard.join(none, n, percent).count() == 0
 
 
+def test_join_without_ids(spark):
+    """Rows without an id link with nothing, so they can't join two others."""
+    w = [f"v{i}" for i in range(60)]
+    texts = [" ".join(w[:54]), " ".join(w[:57]), " ".join(w[:60])]
+    whole = spark.createDataFrame(list(zip([4, 5, 6], texts)), "doc_id long, text string")
+    assert joined(whole, 4, 93) == [(4, 51, 4, 1), (5, 54, 4, 2), (6, 57, 4, 1)]
+    torn = spark.createDataFrame(list(zip([4, None, 6], texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard.join(torn, 4, 93).collect()}
+    assert got == {4: (4, 0), None: (None, 0), 6: (6, 0)}
+
+
+def test_deduplicated_repeated_ids(spark):
+    """Two texts of one id are two documents: a copy goes, its namesake stays."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a, "x"), (7, a, "y"), (7, b, "z"), (7, b, "z"), (None, a, "n"), (8, None, "e"), (9, "", "f")]
+    got = jaccard.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, thash string"))
+    assert got.columns == ["doc_id", "text", "thash"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, a, "x"), (7, b, "z"), (None, a, "n"), (8, None, "e"), (9, "", "f")], key=str)
+
+
 def test_join_of_frequent_shingles(spark):
     """120 near copies: their shingles are all frequent, so pairs of them are indexed."""
     words = [f"v{i}" for i in range(80)]
@@ -87,8 +113,7 @@ def test_join_of_frequent_shingles(spark):
             w[rng.randrange(80)] = f"x{rng.randrange(400)}"
         rows.append((i, " ".join(w)))
     rows += [(200 + i, sentence(60)) for i in range(30)] + [(300 + i, " ".join(words[: 6 + i])) for i in range(8)]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, 85).collect()}
-    assert got == linked(rows, 4, 85)
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, 85) == linked(rows, 4, 85)
 
 
 def test_fingerprints(docs, rows, none):
