@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import EXCHANGE, FLUSH, U, batches, blobs_by_bucket, bucket_of, buckets, checkpointed, components, distinct, document_batches, exchanged, freeze, joined, mix, nullable_ids, pack, runs, shingles, text_columns, text_hash, thaw
+from siltbed.llm.common import EXCHANGE, FLUSH, U, UnionFind, batches, blobs_by_bucket, bucket_of, buckets, checkpointed, components, distinct, document_batches, exchanged, freeze, joined, mix, nullable_ids, pack, runs, shingles, text_columns, text_hash, thaw
 
 EXTEND = 16
 #: Homes of a class's verifications.
@@ -168,7 +168,9 @@ class Signer:
 
 
 def links(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(u, v): pairs of set fingerprints that link, u < v as unsigned numbers."""
+    """What the links between different sets come to, by task: rows (u, v, null) tie a set fingerprint
+    to the smallest of those that the task's links join with it; rows (u, null, n) give the number of
+    rows whose sets u links with there. Links themselves stay in the task that verifies them."""
     parts = buckets(docs.sparkSession)
     total = docs.count()
     signer = Signer(frequent(docs, n, max(32, total // 5000), parts), percent)
@@ -268,7 +270,7 @@ def links(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 yield row[0], 0, row[1]
 
     def send_texts(it):
-        held, size, known = [], 0, set()
+        held, size, times = [], 0, {}  # times: the rows of each set since the last flush
 
         def rows():
             fp = np.array([x[0] for x in held], U)
@@ -276,17 +278,18 @@ def links(docs: DataFrame, n: int, percent: int) -> DataFrame:
             for b in np.unique(by):
                 own = np.flatnonzero(by == b)
                 yield int(b), 1, freeze({"fp": fp[own], "len": np.array([len(held[i][1]) for i in own], np.int64), "data": np.frombuffer(b"".join(held[i][1] for i in own), np.uint8)}, 3)
+                yield int(b), 2, freeze({"fp": fp[own], "n": np.array([times[int(x)] for x in fp[own]], np.int64)})
 
         for _, _, _, _, edges, fp, data, off in chunks_of_sets(it, n):
             for i in np.flatnonzero(np.diff(edges)):
-                if (name := int(fp[i])) not in known:
-                    known.add(name)
+                name = int(fp[i])
+                times[name] = times.get(name, 0) + 1
+                if times[name] == 1:
                     held.append((name, data[off[i] : off[i + 1]].tobytes()))
                     size += off[i + 1] - off[i]
             if size > FLUSH:
                 yield from batches(rows())
-                held, size = [], 0
-                known.clear()
+                held, size, times = [], 0, {}
         if held:
             yield from batches(rows())
 
@@ -304,16 +307,19 @@ def links(docs: DataFrame, n: int, percent: int) -> DataFrame:
             me, other, lead = (asked[k][order] for k in ("me", "other", "lead"))
             left, right = np.where(lead, me, other), np.where(lead, other, me)
             to = home(left, right)
+            told = joined([b for kind, b in blobs if kind == 2], ["fp", "n"], [U, np.int64])
+            sets, at = np.unique(told["fp"], return_inverse=True)
+            copies = np.bincount(at, told["n"]).astype(np.int64)
             done, out, size = set(), {}, 0
 
             def rows():
                 for b, texts in out.items():
                     names = np.array(list(texts), U)
                     pair = np.concatenate([texts[int(x)][1] for x in names])
-                    yield b, 0, freeze({"fp": names, "len": np.array([len(texts[int(x)][0]) for x in names], np.int64), "data": np.frombuffer(b"".join(texts[int(x)][0] for x in names), np.uint8), "a": left[pair], "b": right[pair]}, 3)
+                    yield b, 0, freeze({"fp": names, "len": np.array([len(texts[int(x)][0]) for x in names], np.int64), "data": np.frombuffer(b"".join(texts[int(x)][0] for x in names), np.uint8), "copies": copies[np.searchsorted(sets, names)], "a": left[pair], "b": right[pair]}, 3)
 
             for kind, blob in blobs:
-                if kind == 0:
+                if kind != 1:
                     continue
                 x = thaw(blob)
                 off = np.concatenate([[0], np.cumsum(x["len"])])
@@ -336,7 +342,7 @@ def links(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     def verify(it):
         for _, blobs in blobs_by_bucket(it):
-            sets, a, b = {}, [], []
+            sets, copies, a, b = {}, {}, [], []
             for _, blob in blobs:
                 x = thaw(blob)
                 off = np.concatenate([[0], np.cumsum(x["len"])])
@@ -344,47 +350,45 @@ def links(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     h, edges, _ = sets_of(x["data"][off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n)
                     for i in range(lo, hi):
                         sets[int(x["fp"][i])] = h[edges[i - lo] : edges[i - lo + 1]]
+                copies.update(zip(x["fp"].tolist(), x["copies"].tolist()))
                 a.append(x["a"])
                 b.append(x["b"])
             pairs = np.unique(np.column_stack([np.concatenate(a), np.concatenate(b)]), axis=0)
-            good = []
-            for u, v in pairs.tolist():
+            ties, partners = UnionFind(), {}
+            for (u, v), (su, sv) in zip(pairs.tolist(), pairs.view(np.int64).tolist()):
                 x, y = sets[u], sets[v]
                 both = int(np.isin(x, y, assume_unique=True, kind="sort").sum())
                 if 100 * both >= percent * (len(x) + len(y) - both):
-                    good.append((u, v))
-            found = np.array(good, U).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["u", "v"])
+                    ties.union(su, sv)
+                    partners[su] = partners.get(su, 0) + copies[v]
+                    partners[sv] = partners.get(sv, 0) + copies[u]
+            near = list(ties.parent)
+            for u, v, k in ((near, [ties.find(x) for x in near], [None] * len(near)), (list(partners), [None] * len(partners), list(partners.values()))):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (u, v, k)], ["u", "v", "n"])
 
     texts = text_columns(docs)
     proposed = exchanged(texts.mapInArrow(index, EXCHANGE), parts).mapInArrow(lambda it: batches(propose(it)), EXCHANGE)
     asked = exchanged(proposed, parts).mapInArrow(lambda it: batches(confirm(it)), EXCHANGE)
     met = exchanged(asked.unionByName(texts.mapInArrow(send_texts, EXCHANGE)), parts).mapInArrow(forward, EXCHANGE)
-    return exchanged(met, parts).mapInArrow(verify, "u long, v long")
+    return exchanged(met, parts).mapInArrow(verify, "u long, v long, n long")
 
 
-def grouped(docs: DataFrame, n: int, percent: int, counted: bool) -> DataFrame:
+def grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, thash, n_shingles, first (doc_id and thash of the group's first row) and n_links of
-    every row; first is null for rows without an id or words, n_links where not counted."""
+    every row; first and n_links are null for rows without an id or words."""
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
     docs = docs.select("doc_id", "text")
     rows = checkpointed(members(docs, n))  # numbers only; several steps read them
     sets = rows.where("doc_id is not null and n_shingles > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "thash")).alias("head"), F.count(F.lit(1)).alias("copies"))
-    pairs = links(docs.where("doc_id is not null"), n, percent)
-    if counted:
-        pairs = checkpointed(pairs)
-    found = components(pairs).select(F.col("node").alias("fp"), "component")
+    linked = checkpointed(links(docs.where("doc_id is not null"), n, percent))
+    found = components(linked.where("v is not null")).select(F.col("node").alias("fp"), "component")
     classed = sets.join(found, "fp", "left").select("fp", "head", "copies", F.coalesce("component", "fp").alias("class"))
     heads = classed.groupBy("class").agg(F.min("head").alias("first"))
     # the groups meet sets, not rows: copies are then one row here
     told = classed.join(heads, "class").select("fp", "first", "copies")
-    partners = F.lit(0)
-    if counted:
-        ways = pairs.select(F.col("u").alias("fp"), F.col("v").alias("other")).union(pairs.select("v", "u"))
-        sums = ways.join(sets.select(F.col("fp").alias("other"), "copies"), "other").groupBy("fp").agg(F.sum("copies").alias("partners"))
-        told, partners = told.join(sums, "fp", "left"), F.coalesce("partners", F.lit(0))
-    told = told.select("fp", "first", (F.col("copies") - 1 + partners if counted else F.lit(None).cast("long")).alias("n_links"))
+    sums = linked.where("v is null").groupBy(F.col("u").alias("fp")).agg(F.sum("n").alias("partners"))
+    told = told.join(sums, "fp", "left").select("fp", "first", (F.col("copies") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links"))
     own = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     return rows.join(told, "fp", "left").select("doc_id", "thash", "n_shingles", F.when(own, F.col("first")).alias("first"), F.when(own, F.col("n_links")).alias("n_links"))
 
@@ -393,14 +397,14 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links lead to) and n_links (how many
     other rows it links with, copies included) of every row."""
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("first.doc_id", "doc_id"))
-    return grouped(docs, n, percent, True).select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return grouped(docs, n, percent).select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns, that are the first of their group by doc_id and hash of the text;
     rows equal in both are one, rows without an id stay."""
     first = F.col("first").isNull() | ((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.thash") == F.col("thash")))
-    keep = grouped(docs, n, percent, False).where("doc_id is not null").where(first).select(F.col("doc_id").alias("_keep"), F.col("thash").alias("_keep_hash")).distinct()
+    keep = grouped(docs, n, percent).where("doc_id is not null").where(first).select(F.col("doc_id").alias("_keep"), F.col("thash").alias("_keep_hash")).distinct()
     mark = "_" * (1 + max(map(len, docs.columns)))  # no column of docs has this name
     named = docs.where("doc_id is not null").withColumn(mark, text_hash(docs["text"]))
     named = named.join(keep, (named["doc_id"] == keep["_keep"]) & (named[mark] == keep["_keep_hash"]), "left_semi")
