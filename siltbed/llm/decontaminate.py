@@ -7,7 +7,8 @@ count. Two passes over the corpus:
 2. an item's seeds are its n-grams but those far commoner than its others (so an item that leaked into
    a large share of the corpus keeps its seeds). Hits of a document on an item, close together, mark a
    passage; its words are aligned with the item's, a match earning the word's IDF weight, a mismatch
-   or gap costing GAP. The score is the alignment's over the item's with itself, 0 to 1.
+   or gap costing GAP of the item's mean weight (so edits cost the same part of an item that leaked
+   widely). The score is the alignment's over the item's with itself, 0 to 1.
    A passage whose words can't reach the threshold even in the best order is not aligned.
 
 Nothing of the corpus moves. The items are broadcast in parts of at most PART_BYTES of text; a larger
@@ -120,11 +121,12 @@ class Benchmark:
     def align(self, item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
         """The best local alignment's score, and where it ends in the passage."""
         weight = self.idf[item]
+        gap = GAP * float(weight.mean())
         row, best, end = np.zeros(len(passage) + 1), 0.0, 0
-        slope = GAP * np.arange(len(passage) + 1)
+        slope = gap * np.arange(len(passage) + 1)
         for w, gain in zip(item.tolist(), weight.tolist()):
-            new = np.maximum(row - GAP, 0)
-            new[1:] = np.maximum(new[1:], row[:-1] + np.where(passage == w, gain, -GAP))
+            new = np.maximum(row - gap, 0)
+            new[1:] = np.maximum(new[1:], row[:-1] + np.where(passage == w, gain, -gap))
             row = np.maximum.accumulate(new + slope) - slope
             k = int(row.argmax())
             if row[k] > best:

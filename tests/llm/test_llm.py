@@ -140,6 +140,20 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.contaminated(none, bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_a_widely_leaked_item(spark):
+    r = random.Random(3)
+    item = [f"q{i}" for i in range(40)]
+    rows = [(i, " ".join(item)) for i in range(200)] + [(i, " ".join(f"z{r.randrange(300)}" for _ in range(50))) for i in range(200, 600)]
+    for i in range(600, 640):  # edited by 10 to 20 %
+        edited = list(item)
+        for k in r.sample(range(40), r.randint(4, 8)):
+            edited[k] = f"z{r.randrange(300)}"
+        rows.append((i, " ".join(edited)))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    assert {x.doc_id for x in decontaminate.contaminated(docs, bench).collect()} == {*range(200), *range(600, 640)}
+    assert {x.doc_id for x in decontaminate.clean(docs, bench).collect()} == set(range(200, 600))
+
+
 def test_quality(spark, none):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
