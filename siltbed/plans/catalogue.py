@@ -43,6 +43,13 @@ def _sparse_seek(spark, d):
     return runs.sparse_seek(runs.sparse_index(logs.orders(spark, d)), asked)
 
 
+def _sparse_seek_all(spark, d):
+    """Every order's key, as many absent ones, and one before and after all."""
+    run = logs.orders(spark, d)
+    asked = logs.with_absent(run).unionByName(spark.createDataFrame([("a",), ("zz",)], "key string"))
+    return runs.sparse_seek(runs.sparse_index(run), asked)
+
+
 def _delete(spark, d):
     """Purchases delete, by the opcode; what is then alive."""
     e = logs.table(spark, d, "events")
@@ -91,6 +98,10 @@ def queries() -> dict:
         "kv_get_levels": lambda s, d: lookup.get_batch(logs.probes(s), levels(s, d), logical=True),
         "kv_exists_semi": lambda s, d: lookup.exists(logs.probes(s), levels(s, d)),
         "kv_missing_anti": lambda s, d: lookup.missing(logs.probes(s), levels(s, d)),
+        "kv_get_batch_all": lambda s, d: lookup.get_batch(logs.every_user(s, d), levels(s, d)).select("key", "status_code", "value"),
+        "kv_get_levels_all": lambda s, d: lookup.get_batch(logs.every_user(s, d), levels(s, d), logical=True),
+        "kv_exists_semi_all": lambda s, d: lookup.exists(logs.every_user(s, d), levels(s, d)),
+        "kv_missing_anti_all": lambda s, d: lookup.missing(logs.every_user(s, d), levels(s, d)),
         "kv_round_robin": lambda s, d: ev(s, d).select(F.col("seq").alias("event_id"), F.pmod("seq", F.lit(4)).cast("int").alias("worker")),
         "kv_frame_decode": _frame_decode,
         "kv_limits": _limits,
@@ -100,6 +111,7 @@ def queries() -> dict:
         "kv_wal_replay": lambda s, d: wal.replayed(wire.framed(ev(s, d))),
         "kv_sparse_index": lambda s, d: runs.sparse_index(orders(s, d)),
         "kv_sparse_seek": _sparse_seek,
+        "kv_sparse_seek_all": _sparse_seek_all,
         "kv_sstable_footer": lambda s, d: runs.footer(orders(s, d)),
         "kv_sstable_scan": lambda s, d: _text(sst.rows_of(sst.blobs(orders(s, d), partitions(s)))),
         "kv_flush_boundaries": lambda s, d: runs.flush_boundaries(logs.lineitem(s, d)),
@@ -121,6 +133,7 @@ def _hex(value: str, n: int) -> str:
 def oracle_sql() -> dict[str, str]:
     runs4, put = logs.runs_sql(4), f"WITH {logs.LWW} SELECT key, value, seq FROM lww"
     best = f"WITH {runs4}, m AS (SELECT key, arg_min(value, run_idx) AS v, min(run_idx) AS level_rank FROM runs GROUP BY key), probes AS (SELECT 'user_' || CAST(i AS VARCHAR) AS key FROM range(300) t(i))"
+    best_all = f"WITH {runs4}, m AS (SELECT key, arg_min(value, run_idx) AS v, min(run_idx) AS level_rank FROM runs GROUP BY key), {logs.USERS}"
     frame = f"{_hex('cmd_type', 1)} || {_hex('strlen(key)', 1)} || {_hex('strlen(value)', 2)} || {_hex('0', 8)} || {_hex('seq', 8)} || lower(hex(key)) || lower(hex(value))"
     ack = f"{_hex('4', 1)} || {_hex('strlen(key)', 1)} || {_hex('0', 2)} || {_hex('seq % 4', 8)} || {_hex('seq', 8)}"
     return {
@@ -140,6 +153,10 @@ SELECT g.seq, g.key, CASE WHEN p.key IS NULL THEN 1 ELSE 0 END AS status_code, c
         "kv_get_levels": f"{best} SELECT probes.key, CASE WHEN coalesce(v, '') = '' THEN 1 ELSE 0 END AS status_code, coalesce(v, '') AS value, strlen(coalesce(v, '')) AS val_len, coalesce(level_rank, -1) AS level_rank FROM probes LEFT JOIN m ON probes.key = m.key",
         "kv_exists_semi": f"{best} SELECT key FROM probes SEMI JOIN m USING (key)",
         "kv_missing_anti": f"{best} SELECT key FROM probes ANTI JOIN m USING (key)",
+        "kv_get_batch_all": f"{best_all} SELECT probes.key, CASE WHEN v IS NULL THEN 1 ELSE 0 END AS status_code, coalesce(v, '') AS value FROM probes LEFT JOIN m ON probes.key = m.key",
+        "kv_get_levels_all": f"{best_all} SELECT probes.key, CASE WHEN coalesce(v, '') = '' THEN 1 ELSE 0 END AS status_code, coalesce(v, '') AS value, strlen(coalesce(v, '')) AS val_len, coalesce(level_rank, -1) AS level_rank FROM probes LEFT JOIN m ON probes.key = m.key",
+        "kv_exists_semi_all": f"{best_all} SELECT key FROM probes SEMI JOIN m USING (key)",
+        "kv_missing_anti_all": f"{best_all} SELECT key FROM probes ANTI JOIN m USING (key)",
         "kv_round_robin": "SELECT event_id, CAST(event_id % 4 AS INTEGER) AS worker FROM events",
         "kv_frame_decode": f"WITH {logs.CMDS} SELECT cmd_type, CAST(strlen(key) AS INTEGER) AS key_len, CAST(strlen(coalesce(value, '')) AS INTEGER) AS val_len, CAST(0 AS BIGINT) AS client_id, seq AS request_id, key, coalesce(value, '') AS value FROM cmds",
         "kv_limits": """SELECT why, count(*) AS commands, CAST(sum(n) AS BIGINT) AS value_bytes FROM (SELECT CASE WHEN strlen('doc_' || CAST(doc_id AS VARCHAR)) > 255 THEN 'key_too_long' WHEN strlen(coalesce(text, '')) > 1024 THEN 'value_too_long' ELSE 'ok' END AS why, strlen(coalesce(text, '')) AS n FROM documents) GROUP BY why""",
@@ -148,6 +165,7 @@ SELECT g.seq, g.key, CASE WHEN p.key IS NULL THEN 1 ELSE 0 END AS status_code, c
         "kv_wal_batches": f"WITH {logs.CMDS}, n AS (SELECT *, (row_number() OVER (ORDER BY seq) - 1) // 1024 AS b FROM cmds WHERE cmd_type = 2) SELECT b, count(*) AS n, CAST(sum(20 + strlen(key) + strlen(value)) AS BIGINT) AS bytes FROM n GROUP BY b",
         "kv_sparse_index": f"WITH {logs.INDEX} SELECT key, off, pos FROM si",
         "kv_sparse_seek": f"WITH {logs.INDEX}, pr AS (SELECT 'o_' || CAST(i AS VARCHAR) AS key FROM range(0, 16000, 97) t(i) UNION ALL VALUES ('a'), ('zz')) SELECT pr.key, si.off FROM pr ASOF LEFT JOIN si ON pr.key >= si.key",
+        "kv_sparse_seek_all": f"WITH {logs.INDEX}, pr AS (SELECT key FROM run UNION ALL SELECT key || 'x' FROM run UNION ALL VALUES ('a'), ('zz')) SELECT pr.key, si.off FROM pr ASOF LEFT JOIN si ON pr.key >= si.key",
         "kv_sstable_footer": f"""WITH {logs.INDEX}, d AS (SELECT count(*) AS n_keys, CAST(sum(8 + strlen(key) + strlen(value)) AS BIGINT) AS index_offset FROM run), x AS (SELECT CAST(sum(12 + strlen(key)) AS BIGINT) AS index_size FROM si)
 SELECT n_keys, index_offset, index_size, index_offset + index_size AS bloom_offset, (greatest(n_keys * 10, 64) + 7) // 8 AS bloom_size FROM d, x""",
         "kv_sstable_scan": f"WITH {logs.RUN} SELECT key, value FROM run",

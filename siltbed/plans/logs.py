@@ -50,11 +50,22 @@ def probes(spark, n: int = 300) -> DataFrame:
     return spark.range(n).select(F.concat(F.lit("user_"), F.col("id").cast("string")).alias("key"))
 
 
+def with_absent(keys: DataFrame) -> DataFrame:
+    """Every key, and as many absent ones made by a suffix."""
+    return keys.select("key").unionByName(keys.select(F.concat("key", F.lit("x")).alias("key")))
+
+
+def every_user(spark, sf_dir) -> DataFrame:
+    """The key of every user of the events, and as many absent ones."""
+    return with_absent(events(spark, sf_dir).select("key").distinct())
+
+
 CMDS = """cmds AS (SELECT event_id AS seq, 'user_' || CAST(user_id AS VARCHAR) AS key,
   CASE WHEN event_type = 'view' THEN 1 ELSE 2 END AS cmd_type,
   CASE WHEN event_type = 'view' THEN NULL WHEN event_type = 'error' THEN '' ELSE props END AS value FROM events)"""
 LWW = f"{CMDS}, lww AS (SELECT key, arg_max(value, seq) AS value, max(seq) AS seq FROM cmds WHERE cmd_type = 2 GROUP BY key)"
 RUN = "run AS (SELECT 'o_' || CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus || o_orderpriority AS value FROM orders)"
+USERS = "users AS (SELECT DISTINCT 'user_' || CAST(user_id AS VARCHAR) AS key FROM events), probes AS (SELECT key FROM users UNION ALL SELECT key || 'x' FROM users)"
 INDEX = f"""{RUN}, e AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS pos,
   coalesce(sum(8 + strlen(key) + strlen(value)) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM run),
 si AS (SELECT key, CAST(off AS BIGINT) AS off, CAST(pos AS BIGINT) AS pos FROM e WHERE pos % 64 = 0)"""

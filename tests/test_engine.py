@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from siltbed.functions import wire
@@ -85,3 +86,17 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_lookups_over_whole_tables(spark, sf):
+    import __spark_entry__ as e
+
+    d, q = f"/root/testdata/{sf}", e.queries()
+    users = spark.read.parquet(f"{d}/events.parquet").select("user_id").distinct().count()
+    written = spark.read.parquet(f"{d}/events.parquet").where("event_type <> 'view'").select("user_id").distinct().count()
+    orders = spark.read.parquet(f"{d}/orders.parquet").count()
+    assert q["kv_get_batch_all"](spark, d).where("status_code = 0").count() == written
+    assert q["kv_get_levels_all"](spark, d).count() == 2 * users
+    assert q["kv_exists_semi_all"](spark, d).count() == written and q["kv_missing_anti_all"](spark, d).count() == 2 * users - written
+    assert q["kv_sparse_seek_all"](spark, d).count() == 2 * orders + 2
