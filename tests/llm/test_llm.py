@@ -154,6 +154,16 @@ def test_decontamination_of_a_widely_leaked_item(spark):
     assert {x.doc_id for x in decontaminate.clean(docs, bench).collect()} == set(range(200, 600))
 
 
+def test_decontamination_without_spaces(spark):
+    items = ["春天的风吹过山谷带来远方的消息", "雨の夜に静かな港町を歩いていた", "แมวตัวนั้นนอนอยู่บนหลังคาบ้าน", "𠀀𠀁𠀂𠀃𠀄𠀅"]
+    around = ["他们说", "そして", "ครับ", "𠁀𠁁"]
+    rows = [(k, a + t + a) for k, (t, a) in enumerate(zip(items, around))] + [(10, "春天的风吹过高原带来远方的消息"), (11, "他们说今天不下雨"), (12, "plain words of no item é")]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()) == [(0, 0), (1, 1), (2, 2), (3, 3), (10, 0)]
+    assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {11, 12}
+
+
 def test_quality(spark, none):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
