@@ -1,7 +1,7 @@
 """Sharding along a Hilbert curve.
 
 Four metadata dimensions of a document (language, source, length, id) are each cut at quantiles into
-2^LEVELS cells. The cell's index on the four-dimensional Hilbert curve orders the documents, then
+2^LEVELS cells; strings are cut as a whole, whatever their common prefix. The cell's index on the four-dimensional Hilbert curve orders the documents, then
 text checksum and id; runs of equal numbers of rows become the shards. Documents near in all
 dimensions so share files, whose minima and maxima prune reads by any of the dimensions.
 
@@ -14,6 +14,8 @@ repeated rows keep their own places; an empty table gives no rows.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -21,9 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltbed.llm.common import buckets, checkpointed
+from siltbed.operators.positions import with_positions
 
 SHARDS, LEVELS = 16, 4
-DIMENSIONS = ("lang", "source", "chars", "doc_id")
+STRINGS, NUMBERS = ("lang", "source"), ("chars", "doc_id")
 
 
 def hilbert(cells: np.ndarray, levels: int) -> np.ndarray:
@@ -55,34 +58,50 @@ def hilbert(cells: np.ndarray, levels: int) -> np.ndarray:
 
 
 def keys(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32 and a number for each dimension. A string's number is its first six
-    bytes, which keeps the order."""
+    """doc_id, size, text_crc32 and the dimensions."""
     text = docs["text"].cast("string")
-
-    def number(c):
-        return F.coalesce(F.conv(F.hex(F.rpad(F.substring(F.encode(docs[c].cast("string"), "UTF-8"), 1, 6), 6, F.lit(b"\0"))), 16, 10).cast("long"), F.lit(-1))
-
     return docs.select(
         docs["doc_id"].cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
         F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
-        number("lang").alias("d_lang"),
-        number("source").alias("d_source"),
+        docs["lang"].cast("string").alias("d_lang"),
+        docs["source"].cast("string").alias("d_source"),
         F.coalesce(F.length(text), F.lit(0)).cast("long").alias("d_chars"),
         F.coalesce(docs["doc_id"].cast("long"), F.lit(-1)).alias("d_doc_id"),
     )
 
 
+def string_limits(rows: DataFrame, name: str, total: int, cells: int) -> list[bytes | None]:
+    """The distinct values at the `cells` - 1 quantiles of a string column, in order, null first. One
+    row a value is ordered, over range partitions; only the limits come to the driver."""
+    values = with_positions(rows.groupBy(name).agg(F.count(F.lit(1)).alias("n")), [F.col(name)], F.col("n"))
+    reached = lambda end: f"least({cells - 1}, ({end}) * {cells} div {total})"
+    found = values.where(F.expr(f"{reached('off + n')} > {reached('off')}")).select(name).collect()
+    return sorted((None if r[0] is None else r[0].encode() for r in found), key=lambda v: (v is not None, v or b""))
+
+
+def string_cells(column: pa.Array, limits: list[bytes | None]) -> np.ndarray:
+    """How many limits are not above each value."""
+    codes = column.dictionary_encode(null_encoding="encode")
+    nulls = sum(v is None for v in limits)
+    own = [nulls if v is None else bisect_right(limits, v.encode(), nulls) for v in codes.dictionary.to_pylist()]
+    return np.array(own, np.int64)[codes.indices.to_numpy(zero_copy_only=False)]
+
+
 def ordered(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
     """The keys with `curve`, range-partitioned and sorted along the curve, and checkpointed."""
     rows = keys(docs)
     parts = [i / (1 << levels) for i in range(1, 1 << levels)]
-    cuts = rows.agg(*[F.percentile_approx(f"d_{d}", parts, 10_000).alias(d) for d in DIMENSIONS]).first()  # 2^LEVELS - 1 limits a dimension
-    limits = [np.array(cuts[d] if cuts[d] is not None else [], np.int64) for d in DIMENSIONS]
+    cuts = rows.agg(F.count(F.lit(1)).alias("total"), *[F.percentile_approx(f"d_{d}", parts, 10_000).alias(d) for d in NUMBERS]).first()  # 2^LEVELS - 1 limits a dimension
+    limits = [np.array(cuts[d] if cuts[d] is not None else [], np.int64) for d in NUMBERS]
+    texts = [string_limits(rows, f"d_{d}", cuts["total"], 1 << levels) if cuts["total"] else [] for d in STRINGS]
 
     def run(it):
         for batch in it:
-            cell = np.column_stack([np.searchsorted(np.unique(lim), batch.column(f"d_{d}").to_numpy(), "right") for lim, d in zip(limits, DIMENSIONS)])
+            cell = np.column_stack([
+                *[string_cells(batch.column(f"d_{d}"), lim) for lim, d in zip(texts, STRINGS)],
+                *[np.searchsorted(np.unique(lim), batch.column(f"d_{d}").to_numpy(), "right") for lim, d in zip(limits, NUMBERS)],
+            ])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("size"), batch.column("text_crc32"), pa.array(hilbert(cell, levels), pa.int64())], ["doc_id", "size", "text_crc32", "curve"])
 
     placed = rows.mapInArrow(run, "doc_id long, size long, text_crc32 long, curve long")

@@ -212,6 +212,18 @@ def test_shards(docs, rows, none):
     assert (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
 
 
+def test_shards_of_long_common_prefixes(spark):
+    rows = [(i, "t", "en", f"https://example.org/source_{i * 7 % 16:02}" if i % 9 else None, 1) for i in range(960)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    limits = shards.string_limits(shards.keys(docs), "d_source", 960, 16)
+    assert limits[0] is None and len(set(limits)) == 15
+    got = collections.defaultdict(set)
+    source = {r[0]: r[3] for r in rows}
+    for r in shards.assign(docs).collect():
+        got[r.shard].add(source[r.doc_id])
+    assert np.mean([len(v) for v in got.values()]) <= 9  # all 17 where the source doesn't count
+
+
 def test_lines(docs, rows, none):
     holders = collections.defaultdict(set)
     for i, t in rows:
