@@ -118,8 +118,8 @@ def queries() -> dict:
         "kv_flush_runs": lambda s, d: runs.flush_runs(logs.lineitem(s, d)),
         "kv_level_set": lambda s, d: runs.level_set(runs.flush_boundaries(logs.lineitem(s, d))),
         "kv_murmur64": lambda s, d: hashing.with_murmur(orders(s, d)),
-        "kv_bloom_bits": lambda s, d: hashing.with_bits(orders(s, d), 1000),
-        "kv_bloom_build": lambda s, d: hashing.build(orders(s, d), 10_000),
+        "kv_bloom_bits": lambda s, d: hashing.with_bits(orders(s, d), orders(s, d).count()),
+        "kv_bloom_build": lambda s, d: hashing.build(orders(s, d), orders(s, d).count()),
         "kv_bloom_probe": _bloom_probe,
         "kv_stream_upsert": _stream_upsert,
     }

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from siltbed.functions import wire
+from siltbed.functions import hashing, wire
 from siltbed.operators import lookup, positions, runs, upsert
 from siltbed.sources import wal
 from siltbed.streaming import ingest
@@ -100,3 +100,14 @@ def test_lookups_over_whole_tables(spark, sf):
     assert q["kv_get_levels_all"](spark, d).count() == 2 * users
     assert q["kv_exists_semi_all"](spark, d).count() == written and q["kv_missing_anti_all"](spark, d).count() == 2 * users - written
     assert q["kv_sparse_seek_all"](spark, d).count() == 2 * orders + 2
+
+
+def test_bloom_fits_its_run(spark):
+    import __spark_entry__ as e
+
+    d, q = "/root/testdata/sf0.1", e.queries()
+    n = spark.read.parquet(f"{d}/orders.parquet").count()
+    size = hashing.bloom_bytes(n)
+    ones = q["kv_bloom_build"](spark, d).agg(F.sum(F.bit_count("byte"))).first()[0]
+    assert 0.4 < ones / (8 * size) < 0.6  # half of the bits at 10 bits a key and 7 probes
+    assert q["kv_bloom_bits"](spark, d).agg(F.max(F.array_max("bits"))).first()[0] > 0.99 * 8 * size
