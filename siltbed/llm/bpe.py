@@ -1,71 +1,40 @@
 """Byte-level BPE: encode texts to ids and ids back to bytes.
 
-Each match of the splitting pattern is encoded by itself. Its bytes are the leaves of a segment tree
-whose nodes hold the leftmost smallest rank of the pairs below them; the root names the next merge.
-A merge changes two pairs, those of the merged part with its living neighbours, so it costs two walks
-from a leaf to the root: n bytes cost O(n log n), also when a text is one long run of letters.
+Each match of the splitting pattern is encoded by itself; one that is no token as a whole goes through a
+segment tree with one leaf for each byte position. A leaf holds the rank of the pair that begins
+there, a node the leftmost smallest below it, so the root names the next merge. A merge changes three
+leaves, those of the merged part and of its two living neighbours, and the nodes above them: n bytes cost
+O(n log n), also when a text is one long run of letters.
 
-Distinct pieces are few beside their occurrences, so each worker keeps the ids of the pieces that it
-has met, of up to CACHED pieces of up to CACHED_BYTES bytes; others are encoded when they come.
+The trees of the distinct new pieces of a few documents stand side by side in one array and merge in
+step; the last few go on one by one. Each worker keeps the ids of about CACHED pieces of up to
+CACHED_CHARS characters, and begins again when it has as many.
 
 Defined cases: null and empty texts have no ids; repeated rows give repeated results; other columns
-of the input are not read.
+of the input are not read; a table without rows gives none.
 """
 
 from __future__ import annotations
 
 import base64
-from functools import partial
 from hashlib import sha256
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from siltbed.llm.common import runs, text_columns, trim, views
 
-CACHED = 400_000
-CACHED_BYTES = 64
-
-
-class SegmentTree:
-    """Leftmost minimum of the pair ranks by byte position. The leaves are blocks of BLOCK positions,
-    whose minimum is taken at once; above them the tree is binary. A number holds rank and position,
-    so the smallest is the leftmost of the smallest rank."""
-
-    BLOCK = 16
-
-    def __init__(self, values: list[int]):
-        self.values = values
-        blocks = [min(values[i : i + self.BLOCK]) for i in range(0, len(values), self.BLOCK)]
-        size = 1
-        while size < len(blocks):
-            size *= 2
-        tree = [1 << 62] * (2 * size)
-        tree[size : size + len(blocks)] = blocks
-        for i in range(size - 1, 0, -1):
-            a, b = tree[2 * i], tree[2 * i + 1]
-            tree[i] = a if a < b else b
-        self.size, self.tree = size, tree
-
-    def smallest(self) -> int:
-        return self.tree[1]
-
-    def put(self, i: int, value: int) -> None:
-        values, tree = self.values, self.tree
-        values[i] = value
-        block = i >> 4
-        at = self.size + block
-        low = min(values[block << 4 : (block << 4) + 16])
-        while tree[at] != low:
-            tree[at] = low
-            if at == 1:
-                return
-            other = tree[at ^ 1]
-            if other < low:
-                low = other
-            at >>= 1
+CACHED = 300_000
+CACHED_CHARS = 64
+#: Bytes of text whose pieces are merged together; a longer document is alone.
+TOGETHER = 1 << 20
+#: Leaves of trees that merge in step, and how few trees go on one by one.
+LEAVES, FEW = 1 << 17, 12
+ABSENT = 1 << 62
+_POSITION = (1 << 32) - 1
 
 
 class BytePairs:
@@ -77,57 +46,131 @@ class BytePairs:
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.bytes = {i: b for b, i in ranks.items()}
         self.seen: dict[str, tuple[int, ...]] = {}
+        # every way to make a token of two tokens, by the ids of both
+        made = {(ranks[t[:k]], ranks[t[k:]]): r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+        pairs = np.array(list(made), np.int64).reshape(-1, 2)
+        keys = pairs[:, 0] << 32 | pairs[:, 1]
+        order = np.argsort(keys)
+        self.keys, self.made = np.append(keys[order], ABSENT), np.append(np.array(list(made.values()), np.int64)[order], -1)
+        self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
 
     @classmethod
     def read(cls, path: str, pattern: str) -> BytePairs:
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
 
-    def merged(self, piece: bytes) -> tuple[int, ...]:
-        """The ids of one piece."""
-        ranks = self.ranks
-        if (whole := ranks.get(piece)) is not None:
-            return (whole,)
-        n, get, absent = len(piece), ranks.get, 1 << 62
-        pair = [r << 32 | i if (r := get(piece[i : i + 2])) is not None else absent for i in range(n - 1)]
-        pair.append(absent)
-        if n > SegmentTree.BLOCK:
-            tree = SegmentTree(pair)
-            put, smallest = tree.put, tree.smallest
-        else:  # one block
-            put, smallest = pair.__setitem__, partial(min, pair)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # by a part's start: the starts beside it
-        while (best := smallest()) < absent:
-            i = best & 0xFFFFFFFF
-            j = after[i]
-            after[i] = k = after[j]
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of tokens, -1 where they make none."""
+        key = a << 32 | b
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.made[at], -1)
+
+    def merged(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """The ids of each piece."""
+        out: list = [(r,) if (r := self.ranks.get(p)) is not None else None for p in pieces]
+        open_ = np.array([i for i, x in enumerate(out) if x is None], np.int64)
+        levels = np.array([(len(pieces[i]) - 1).bit_length() for i in open_], np.int64)
+        for level in np.unique(levels).tolist():
+            rows = open_[levels == level].tolist()
+            step = max(1, LEAVES >> level)
+            for k in range(0, len(rows), step):
+                some = rows[k : k + step]
+                for i, ids in zip(some, self.trees([pieces[i] for i in some], level)):
+                    out[i] = ids
+        return out
+
+    def trees(self, pieces: list[bytes], level: int) -> list[tuple[int, ...]]:
+        """The ids of pieces of at most 2^level bytes, no token as a whole, by segment trees."""
+        width, size = 1 << level, np.array([len(p) for p in pieces])
+        alive = np.arange(width) < size[:, None]  # places where a part begins
+        token = np.zeros((len(pieces), width), np.int64)
+        token[alive] = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+        after = np.tile(np.arange(1, width + 1), (len(pieces), 1))  # by a part's start: the starts beside it
+        before = after - 2
+        tree = np.full((len(pieces), 2 * width), ABSENT)
+        paired = alive[:, 1:]
+        found = self.rank(token[:, :-1][paired], token[:, 1:][paired])
+        tree[:, width:-1][paired] = np.where(found >= 0, found << 32 | np.nonzero(paired)[1], ABSENT)
+        half = width
+        while half > 1:
+            tree[:, half // 2 : half] = np.minimum(tree[:, half : 2 * half : 2], tree[:, half + 1 : 2 * half : 2])
+            half //= 2
+        rows = np.arange(len(pieces))
+        while True:
+            best = tree[rows, 1]
+            rows, best = rows[best < ABSENT], best[best < ABSENT]
+            if len(rows) <= FEW:
+                break
+            i, new = best & _POSITION, best >> 32
+            j = after[rows, i]
+            k = after[rows, j]
             # the parts at i and j are now one, which ends at k
-            put(j, absent)
+            alive[rows, j], after[rows, i], token[rows, i] = False, k, new
+            more, p = k < size[rows], before[rows, i]
+            before[rows[more], k[more]] = i[more]
+            begun = p >= 0
+            right = np.where(more, self.rank(new, token[rows, np.where(more, k, 0)]), -1)
+            left = np.where(begun, self.rank(token[rows, np.maximum(p, 0)], new), -1)
+            tree[rows, width + j] = ABSENT
+            tree[rows, width + i] = np.where(right >= 0, right << 32 | i, ABSENT)
+            tree[rows[begun], width + p[begun]] = np.where(left >= 0, left << 32 | p, ABSENT)[begun]
+            nodes = [width + i, width + j, width + np.maximum(p, 0)]
+            for _ in range(level):
+                nodes = [x >> 1 for x in nodes]
+                for x in nodes:
+                    tree[rows, x] = np.minimum(tree[rows, 2 * x], tree[rows, 2 * x + 1])
+        for r in rows.tolist():
+            self.alone(pieces[r], width, tree[r], after[r], before[r], alive[r], token[r])
+        ids, edge = token[alive].tolist(), np.concatenate([[0], np.cumsum(alive.sum(1))]).tolist()
+        return [tuple(ids[a:b]) for a, b in zip(edge[:-1], edge[1:])]
+
+    def alone(self, piece: bytes, width: int, tree, after, before, alive, token) -> None:
+        """Goes on with one tree to the end; changes alive and token."""
+        node, nxt, prev, n, rank = tree.tolist(), after.tolist(), before.tolist(), len(piece), self.ranks.get
+
+        def put(i: int, pair: bytes | None) -> None:
+            r = None if pair is None else rank(pair)
+            at, low = width + i, ABSENT if r is None else r << 32 | i
+            while node[at] != low:
+                node[at] = low
+                if at == 1:
+                    return
+                if (other := node[at ^ 1]) < low:
+                    low = other
+                at >>= 1
+
+        while (best := node[1]) < ABSENT:
+            i = best & _POSITION
+            j = nxt[i]
+            nxt[i] = k = nxt[j]
+            alive[j], token[i] = False, best >> 32
+            put(j, None)
             if k < n:
-                before[k] = i
-                put(i, absent if (r := get(piece[i : after[k]])) is None else r << 32 | i)
-            else:
-                put(i, absent)
-            if (p := before[i]) >= 0:
-                put(p, absent if (r := get(piece[p:k])) is None else r << 32 | p)
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i : after[i]]])
-            i = after[i]
-        return tuple(out)
-
-    def piece(self, text: str) -> tuple[int, ...]:
-        ids = self.merged(raw := text.encode())
-        if len(raw) <= CACHED_BYTES and len(self.seen) < CACHED:
-            self.seen[text] = ids
-        return ids
+                prev[k] = i
+            put(i, piece[i : nxt[k]] if k < n else None)
+            if (p := prev[i]) >= 0:
+                put(p, piece[p:k])
+
+    def encode_many(self, texts: list[str]) -> list[list[int]]:
+        seen, pieces = self.seen, [self.split(t) for t in texts]
+        if len(seen) > CACHED:
+            seen.clear()
+        new = list(set(chain.from_iterable(pieces)).difference(seen))
+        seen.update(zip(new, self.merged([p.encode() for p in new])))
+        out = [list(chain.from_iterable(map(seen.__getitem__, p))) for p in pieces]
+        for p in new:
+            if len(p) > CACHED_CHARS:
+                del seen[p]
+        return out
 
     def encode(self, text: str) -> list[int]:
-        seen, pieces = self.seen.get, self.split(text)
-        parts = [seen(p) for p in pieces]
-        if None in parts:
-            parts = [x if x is not None else self.piece(p) for x, p in zip(parts, pieces)]
-        return list(chain.from_iterable(parts))
+        return self.encode_many([text])[0]
+
+    def encoded(self, column: pa.Array):
+        """The ids of each text of a column, in order."""
+        _, off = views(column)
+        for lo, hi in runs(off, TOGETHER) if len(column) else ():
+            yield from self.encode_many(column.slice(lo, hi - lo).to_pylist())
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -150,7 +193,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         pairs = tokenizer(path, pattern)
         for batch in it:
             null, ids = batch.column("is_null"), batch.column("doc_id").to_pylist()
-            rows = [pairs.encode(t.as_py()) for t in batch.column("text")]
+            rows = list(pairs.encoded(batch.column("text")))
             yield pa.RecordBatch.from_arrays([pa.array([None if x.as_py() else i for x, i in zip(null, ids)], pa.int64()), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return text_columns(docs).mapInArrow(run, "doc_id long, ids array<int>")
@@ -178,8 +221,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         decimal = {i: str(i) for i in pairs.bytes}.__getitem__
         for batch in it:
             n, enc, dec = [], [], []
-            for t in batch.column("text"):
-                ids = pairs.encode(t.as_py())
+            for ids in pairs.encoded(batch.column("text")):
                 n.append(len(ids))
                 enc.append(sha256(",".join(map(decimal, ids)).encode()).hexdigest())
                 dec.append(sha256(pairs.decode(ids)).hexdigest())
@@ -197,7 +239,7 @@ def round_trips(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         pairs = tokenizer(path, pattern)
         parts = (batch.slice(lo, hi - lo) for batch in it if batch.num_rows for lo, hi in runs(views(batch.column("text"))[1], 2 << 20))
         for batch in parts:
-            rows = [pairs.encode(t.as_py()) for t in batch.column("text")]
+            rows = list(pairs.encoded(batch.column("text")))
             same = [pairs.decode(x) == t.as_py().encode() for x, t in zip(rows, batch.column("text"))]
             doc_id = pc.if_else(batch.column("is_null"), pa.scalar(None, pa.int64()), batch.column("doc_id"))
             yield pa.RecordBatch.from_arrays([doc_id, pa.array([len(x) for x in rows], pa.int64()), pa.array(rows, pa.list_(pa.int32())), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "round_trip"])
