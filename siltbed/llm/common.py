@@ -7,13 +7,15 @@ both are the same document. Null ids are carried as such.
 Packed exchanges: operators that must bring many small things (hashes, spans, texts) together send
 them as blobs, one row for each (task, bucket), instead of one row each. A map task holds at most
 about FLUSH bytes before it lets its blobs go; a reducer holds one bucket. The number of buckets
-follows `spark.sql.shuffle.partitions`, so it grows with the input as every shuffle's does.
+grows with the input: see buckets().
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
+import os
+import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -25,26 +27,48 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 19
 #: Bytes that a map task gathers before it sends its blobs.
 FLUSH = 16 << 20
+#: Bytes of files to a bucket of an exchange.
+BUCKET = 128 << 20
 NULL_ID = np.iinfo(np.int64).min
 U = np.uint64
 
 
 # ---------------------------------------------------------------- session
 
-def buckets(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def buckets(df: DataFrame) -> int:
+    """How many buckets an exchange of df's texts has: one for each shuffle partition that the session
+    names, and one for each BUCKET bytes of the files that df reads, where the plan knows them."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size if size < 1 << 60 else 0  # plans without files report the largest number
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-known // BUCKET))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from spark.checkpoint.dir. Where it is unset a folder of this
+    machine will do only if all executors are on it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "siltbed-checkpoint")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the folder that the session names in spark.checkpoint.dir."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """Cut the lineage with files in the shared folder. Spark deletes them once nothing refers to the
+    result if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        # only where the cluster names no folder, as in tests on one machine
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/siltbed-checkpoint")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def quoted(name: str) -> str:
+    """A column's name as an identifier, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def trim() -> None:
     """Gives memory that a reused worker's earlier tasks have freed back to the system."""
     pa.default_memory_pool().release_unused()

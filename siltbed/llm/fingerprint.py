@@ -140,7 +140,7 @@ def fingerprints(docs: DataFrame, rank: np.ndarray | None = None) -> DataFrame:
     Documents are dealt to ranges of doc_id, whose limits are quantiles of the ids; the first
     documents of a range go to the range before as well, so that every last document meets its next."""
     spark = docs.sparkSession
-    n = buckets(spark)
+    n = buckets(docs)
     if rank is None:
         rank = ranks(docs)
     keyed = text_columns(docs)

@@ -171,7 +171,7 @@ def links(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """What the links between different sets come to, by task: rows (u, v, null) tie a set fingerprint
     to the smallest of those that the task's links join with it; rows (u, null, n) give the number of
     rows whose sets u links with there. Links themselves stay in the task that verifies them."""
-    parts = buckets(docs.sparkSession)
+    parts = buckets(docs)
     total = docs.count()
     signer = Signer(frequent(docs, n, max(32, total // 5000), parts), percent)
     session = docs.sparkSession.sparkContext

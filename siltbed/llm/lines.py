@@ -76,7 +76,7 @@ def _stream(it):
 def bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, thash, n_lines, n_dropped, keep) of the documents that lose lines. keep: zlib of the
     bits, one for each line, 1 to keep, first line in the highest bit. doc_id is NULL_ID for null."""
-    n = buckets(docs.sparkSession)
+    n = buckets(docs)
     order = [F.col("key"), F.col("doc_id").desc(), F.col("thash")]
     # written first: range partitioning reads its input twice, to sample the limits and to deal it out
     found = checkpointed(occurrences(docs, min_chars))

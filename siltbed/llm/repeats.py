@@ -173,7 +173,7 @@ def maximal_repeats(group, frag, start, size, data, off, least: int = LENGTH):
 
 def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, int]:
     """Blobs of the repeats of each document, by the bucket of the document; the number of buckets."""
-    parts = buckets(docs.sparkSession)
+    parts = buckets(docs)
 
     def find(it):
         out, held, size = Spans(parts), [], 0

@@ -1,15 +1,23 @@
 """Sharding along a Hilbert curve.
 
 Four metadata dimensions of a document (language, source, length, id) are each cut at quantiles into
-2^LEVELS cells; strings are cut as a whole, whatever their common prefix. The cell's index on the four-dimensional Hilbert curve orders the documents, then
-text checksum and id; runs of equal numbers of rows become the shards. Documents near in all
-dimensions so share files, whose minima and maxima prune reads by any of the dimensions.
+2^LEVELS cells; strings are cut as a whole, whatever their common prefix. The cell's index on the
+four-dimensional Hilbert curve orders the documents, and runs of equal numbers of rows become the
+shards. Documents near in all dimensions so share files, whose minima and maxima prune reads by any
+of the dimensions.
+
+Rows of equal text (same size, CRC-32 and 64-bit hash) are a class: all take the place of the class's
+smallest row (by doc_id, language, source), and follow one another there by their own index and
+doc_id. So a class lies in one shard or in neighbouring ones: at most shards - 1 classes are cut,
+however many rows they have.
 
 Only keys move, never texts: the ordering is one range partitioning of the keys, written to the
-checkpoint folder, whose partition sizes (one number each) give every row its place.
+checkpoint folder, whose partition sizes (one number each) give every row its place. A class of any
+size is spread over ranges; its smallest row is a partial aggregate.
 
-Defined cases: null texts have size 1 and the checksum of no bytes; null metadata sorts first;
-repeated rows keep their own places; an empty table gives no rows.
+Defined cases: null texts have size 1 and the checksum of no bytes and are of one class with empty
+ones; null metadata sorts first; repeated rows keep their own places; an empty table gives no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,8 +29,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from siltbed.llm.common import buckets, checkpointed
+from siltbed.llm.common import NULL_ID, buckets, checkpointed, quoted, text_hash
 from siltbed.operators.positions import with_positions
 
 SHARDS, LEVELS = 16, 4
@@ -57,17 +66,19 @@ def hilbert(cells: np.ndarray, levels: int) -> np.ndarray:
     return out
 
 
-def keys(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32 and the dimensions."""
+def keys(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, text hash and the dimensions; with whole, also the row itself."""
     text = docs["text"].cast("string")
     return docs.select(
         docs["doc_id"].cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
         F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
+        text_hash(docs["text"]).alias("thash"),
         docs["lang"].cast("string").alias("d_lang"),
         docs["source"].cast("string").alias("d_source"),
         F.coalesce(F.length(text), F.lit(0)).cast("long").alias("d_chars"),
-        F.coalesce(docs["doc_id"].cast("long"), F.lit(-1)).alias("d_doc_id"),
+        F.coalesce(docs["doc_id"].cast("long"), F.lit(int(NULL_ID))).alias("d_doc_id"),
+        *([F.struct(*[docs[quoted(c)] for c in docs.columns]).alias("row")] if whole else []),
     )
 
 
@@ -88,13 +99,15 @@ def string_cells(column: pa.Array, limits: list[bytes | None]) -> np.ndarray:
     return np.array(own, np.int64)[codes.indices.to_numpy(zero_copy_only=False)]
 
 
-def ordered(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """The keys with `curve`, range-partitioned and sorted along the curve, and checkpointed."""
-    rows = keys(docs)
+def ordered(docs: DataFrame, levels: int = LEVELS, whole: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32 (and the row, with whole), range-partitioned and sorted along the
+    curve, classes together, and checkpointed."""
+    rows = keys(docs, whole)
+    numbers = rows.drop("row")
     parts = [i / (1 << levels) for i in range(1, 1 << levels)]
-    cuts = rows.agg(F.count(F.lit(1)).alias("total"), *[F.percentile_approx(f"d_{d}", parts, 10_000).alias(d) for d in NUMBERS]).first()  # 2^LEVELS - 1 limits a dimension
+    cuts = numbers.agg(F.count(F.lit(1)).alias("total"), *[F.percentile_approx(f"d_{d}", parts, 10_000).alias(d) for d in NUMBERS]).first()  # 2^LEVELS - 1 limits a dimension
     limits = [np.array(cuts[d] if cuts[d] is not None else [], np.int64) for d in NUMBERS]
-    texts = [string_limits(rows, f"d_{d}", cuts["total"], 1 << levels) if cuts["total"] else [] for d in STRINGS]
+    texts = [string_limits(numbers, f"d_{d}", cuts["total"], 1 << levels) if cuts["total"] else [] for d in STRINGS]
 
     def run(it):
         for batch in it:
@@ -102,22 +115,26 @@ def ordered(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
                 *[string_cells(batch.column(f"d_{d}"), lim) for lim, d in zip(texts, STRINGS)],
                 *[np.searchsorted(np.unique(lim), batch.column(f"d_{d}").to_numpy(), "right") for lim, d in zip(limits, NUMBERS)],
             ])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("size"), batch.column("text_crc32"), pa.array(hilbert(cell, levels), pa.int64())], ["doc_id", "size", "text_crc32", "curve"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hilbert(cell, levels), pa.int64())], names=[*batch.schema.names, "curve"])
 
-    placed = rows.mapInArrow(run, "doc_id long, size long, text_crc32 long, curve long")
-    order = ["curve", "text_crc32", "doc_id", "size"]
-    return checkpointed(placed.repartitionByRange(buckets(docs.sparkSession), *order).sortWithinPartitions(*order))
+    own = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("curve", LongType())]))
+    same = ["size", "text_crc32", "thash"]
+    leads = own.groupBy(*same).agg(F.min(F.struct("d_doc_id", "d_lang", "d_source", "curve")).alias("lead"))
+    # a class of many rows is a skewed key of this join, whose other side has one row a class: AQE splits it
+    found = own.join(leads, same).select(F.col("lead.curve").alias("first"), F.col("lead.d_doc_id").alias("lead"), *same, "curve", "doc_id", *(["row"] if whole else []))
+    order = ["first", "lead", *same, "curve", "doc_id"]
+    found = found.repartitionByRange(buckets(docs), *order).sortWithinPartitions(*order)
+    return checkpointed(found.select("doc_id", "size", "text_crc32", *(["row"] if whole else [])))
 
 
-def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, law (`rows`: counts at most one apart), shard, slot (place in the shard,
-    from 0), grown_shard (null under this law)."""
-    rows = ordered(docs)
+def placed(docs: DataFrame, shards: int, whole: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32 (and the row), shard and slot."""
+    rows = ordered(docs, whole=whole)
 
     def count(it):
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([sum(b.num_rows for b in it)], pa.int64())], ["part", "n"])
 
-    sizes = {r["part"]: r["n"] for r in rows.mapInArrow(count, "part int, n long").collect()}  # one row a partition
+    sizes = {r["part"]: r["n"] for r in rows.select("size").mapInArrow(count, "part int, n long").collect()}  # one row a partition
     total = sum(sizes.values())
     base, at = {}, 0
     for p in sorted(sizes):
@@ -131,15 +148,24 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             r = np.arange(rank, rank + b.num_rows)
             rank += b.num_rows
             shard = r * shards // max(total, 1)
-            n = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("size"), b.column("text_crc32"), pa.array(["rows"] * n, pa.string()), pa.array(shard, pa.int32()), pa.array(r - begin[shard], pa.int64()), pa.nulls(n, pa.int32())], ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard, pa.int32()), pa.array(r - begin[shard], pa.int64())], names=[*b.schema.names, "shard", "slot"])
 
-    return rows.mapInArrow(place, "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int")
+    return rows.mapInArrow(place, StructType([*rows.schema.fields, StructField("shard", IntegerType()), StructField("slot", LongType())]))
 
 
-def write(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """The documents themselves as Parquet files by shard, rows in the order of the curve."""
-    placed = assign(docs, shards).select("doc_id", F.col("text_crc32").alias("_crc"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot")).dropDuplicates(["doc_id", "_crc"])
-    crc = F.crc32(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    rows = docs.join(placed, docs["doc_id"].eqNullSafe(placed["doc_id"]) & (crc == placed["_crc"])).drop(placed["doc_id"]).drop("_crc")
-    rows.repartitionByRange(shards * 4, "_shard", "_slot").sortWithinPartitions("_shard", "_slot").drop("_slot").withColumnRenamed("_shard", "shard").write.partitionBy("shard").parquet(path)
+def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """doc_id, size, text_crc32, law (`rows`: counts at most one apart), shard, slot (place in the shard,
+    from 0), grown_shard (null under this law)."""
+    return placed(docs, shards).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def write(docs: DataFrame, path: str, shards: int = SHARDS) -> str:
+    """The documents, all columns, as Parquet files by shard, rows in the order of the curve. The texts
+    move once, with their keys. Returns the name of the shard's column: `shard`, with underscores
+    after it until no column of docs has that name."""
+    name = "shard"
+    while name in docs.columns:
+        name += "_"
+    rows = placed(docs, shards, whole=True).sortWithinPartitions("shard", "slot")
+    rows.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.col("shard").alias(name)).write.partitionBy(name).parquet(path)
+    return name
