@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 19
 #: Bytes that a map task gathers before it sends its blobs.
 FLUSH = 16 << 20
+#: Edges of a graph that one task contracts.
+LOCAL = 200_000
 #: Bytes of files to a bucket of an exchange.
 BUCKET = 128 << 20
 NULL_ID = np.iinfo(np.int64).min
@@ -426,14 +428,16 @@ def _contracted(it):
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([uf.find(x) for x in part], pa.int64())], ["u", "v"])
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, local: int = LOCAL) -> DataFrame:
     """(node, component) for every node of the edges (u, v); component is the smallest node reachable.
 
-    Alternating large-star and small-star steps until a whole round changes nothing; every round is
-    written to the checkpoint folder. A node's neighbours are never listed in one place: both steps
-    are a minimum by key and a join. Edges of a task are first contracted to stars."""
-    stars = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u != v").mapInArrow(_contracted, "u long, v long")
-    stars = checkpointed(stars.select("u", "v").distinct())
+    Tasks of about `local` edges contract them to stars; where one task holds all, that is the result.
+    Otherwise large-star and small-star steps alternate until a whole round changes nothing; every round
+    is written to the checkpoint folder. A node's neighbours are never listed in one place: both steps
+    are a minimum by key and a join."""
+    edges = checkpointed(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u != v").distinct())
+    parts = max(1, -(-edges.count() // local))
+    stars = checkpointed(edges.repartition(parts).mapInArrow(_contracted, "u long, v long").distinct())
 
     def step(e: DataFrame, large: bool) -> DataFrame:
         # both directions for the large star; towards smaller ones only for the small star
@@ -446,14 +450,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     def mark(e: DataFrame):
         return e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
 
+    def told(e: DataFrame) -> DataFrame:
+        found = e.where("u != v").groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
+        return found.union(found.select(F.col("component").alias("node"), "component").distinct())
+
+    if parts == 1:
+        return told(stars)
+    stars = stars.where("u != v")
     before = mark(stars)
-    if not before["n"]:
-        return stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(rounds):
         stars = checkpointed(step(step(stars, True), False))
         now = mark(stars)
         if now == before:
-            found = stars.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
-            return found.union(found.select(F.col("component").alias("node"), "component").distinct())
+            return told(stars)
         before = now
     raise RuntimeError("components did not settle")

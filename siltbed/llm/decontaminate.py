@@ -5,17 +5,22 @@ doesn't count. Each character of a script without spaces (UNSPACED) is a word. T
 
 1. how many documents hold each word and each SEED-word n-gram of the benchmark's items;
 2. an item's seeds are its n-grams but those far commoner than its others (so an item that leaked into
-   a large share of the corpus keeps its seeds). Hits of a document on an item, close together, mark a
-   passage; its words are aligned with the item's, a match earning the word's IDF weight, a mismatch
-   or gap costing GAP of the item's mean weight (so edits cost the same part of an item that leaked
-   widely). The score is the alignment's over the item's with itself, 0 to 1.
-   A passage whose words can't reach the threshold even in the best order is not aligned.
-
-Nothing of the corpus moves. The items are broadcast in parts of at most PART_BYTES of text; a larger
-benchmark takes more passes.
-
-Defined cases: null and empty texts are clean; items of fewer than SEED words match nothing (in
-scripts without spaces: of fewer than SEED characters); equal items are each reported; repeated rows give repeated results; an empty benchmark leaves all clean.
+   a large share of the corpus keeps its seeds); where two of the commoner ones follow one another, both
+   together, one word longer, are a seed too, so no part of an item is without seeds. Hits of a
+   document on an item, close together, mark a passage; its words are aligned with the item's, a match
+   earning the word's IDF weight, a mismatch or gap costing GAP of the item's mean weight (so edits cost
+   the same part of an item that leaked widely). The score is the alignment's over the item's with
+   itself, 0 to 1. A passage whose words can't reach the threshold even in the best order is not aligned.
+
+An item of fewer than SEED words is found, with score 1, where a line of the document has exactly its
+words: in running text such words say nothing.
+
+Nothing of the corpus moves. The items come to the driver and are broadcast in parts of at most about
+PART_BYTES of text, two passes for each part.
+
+Defined cases: null and empty texts are clean; items without words match nothing; equal items are each
+reported; repeated rows give repeated results; an empty benchmark leaves all clean, an empty table
+gives no rows; clean() gives all columns back as they are.
 """
 
 from __future__ import annotations
@@ -56,11 +61,12 @@ def split(low: np.ndarray, start: np.ndarray, end: np.ndarray):
 
 
 def hashed_words(data: np.ndarray, off: np.ndarray):
-    """Hashes of all words and the first word of each document, with the total at the end."""
+    """Hashes of all words; the first word of each document, with the total at the end; and by word the
+    number of line ends before it."""
     low = lowered(data)
     start, end = split(low, *words(low, off, WORD))
     h = Polynomial(low).ranges(start, end) if len(start) else np.empty(0, U)
-    return h, np.searchsorted(start, off)
+    return h, np.searchsorted(start, off), np.searchsorted(np.flatnonzero(data == 10), start)
 
 
 def grams(h: np.ndarray, first: np.ndarray, n: int = SEED):
@@ -111,7 +117,7 @@ class Benchmark:
         texts = [(i, (t or "").encode()) for i, t in items]
         data = np.frombuffer(b"".join(t for _, t in texts), np.uint8)
         off = np.concatenate([[0], np.cumsum([len(t) for _, t in texts])]).astype(np.int64)
-        h, first = hashed_words(data, off)
+        h, first, _ = hashed_words(data, off)
         self.names = [i for i, _ in texts]
         self.words = Sieve(h)
         number = lookup(self.words.known, h)
@@ -121,7 +127,14 @@ class Benchmark:
         self.item_of = np.searchsorted(first, place, "right") - 1
         self.offset_of = place - first[self.item_of]
         self.gram_of = lookup(self.grams.known, g)
-        self.n_docs, self.idf, self.seeds, self.postings = 0, None, None, None
+        # items too short for a seed, by the hash of their words
+        short = [k for k, x in enumerate(self.items) if 0 < len(x) < SEED]
+        self.short = [(n, Sieve(one), one, own) for n in range(1, SEED) if (own := [k for k in short if len(self.items[k]) == n]) for one in [np.concatenate([grams(h[first[k] : first[k + 1]], np.array([0, n]), n)[0] for k in own])]]
+        self.words_of, self.first_of = h, first
+        self.idf, self.seeds, self.longer = None, None, None
+
+    def empty(self) -> bool:
+        return not len(self.grams.known) and not self.short
 
     def weigh(self, n_docs: int, counts: np.ndarray) -> None:
         """counts: documents by word, then by n-gram."""
@@ -129,15 +142,62 @@ class Benchmark:
         top = math.log(n_docs + 2)
         self.idf = np.maximum(0.05, (math.log(n_docs + 2) - np.log(df + 1)) / top)
         rare = np.zeros(len(self.gram_of), bool)
-        for k in range(len(self.items)):
-            own = np.flatnonzero(self.item_of == k) if len(self.items) < 3 else np.arange(*np.searchsorted(self.item_of, [k, k + 1]))
-            n = gram_df[self.gram_of[own]]
-            rare[own] = n <= 4 * np.median(n) + 16 if len(own) else False
-        self.seeds = Sieve(self.grams.known[self.gram_of[rare]])
-        order = np.flatnonzero(rare)
-        seed = lookup(self.seeds.known, self.grams.known[self.gram_of[order]])
+        edge = np.searchsorted(self.item_of, np.arange(len(self.items) + 1))
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            n = gram_df[self.gram_of[a:b]]
+            rare[a:b] = n <= 4 * np.median(n) + 16 if b > a else False
+        self.seeds = self.posted(self.grams.known[self.gram_of], np.flatnonzero(rare))
+        # commoner n-grams that follow one another in an item, as one of SEED + 1 words
+        common = np.flatnonzero(~rare[:-1] & ~rare[1:] & (self.item_of[:-1] == self.item_of[1:])) if len(rare) else np.empty(0, np.int64)
+        longer, place = grams(self.words_of, self.first_of, SEED + 1)
+        at = np.searchsorted(place, self.first_of[self.item_of[common]] + self.offset_of[common])
+        of_gram = np.zeros(len(self.gram_of), U)
+        of_gram[common] = longer[at]
+        self.longer = self.posted(of_gram, common)
+
+    @staticmethod
+    def posted(hashes: np.ndarray, rows: np.ndarray):
+        """A sieve of the hashes of these n-grams, and by hash the n-grams that have it."""
+        sieve = Sieve(hashes[rows])
+        seed = lookup(sieve.known, hashes[rows])
         sort = np.argsort(seed, kind="stable")
-        self.postings = (order[sort], np.searchsorted(seed[sort], np.arange(len(self.seeds.known) + 1)))
+        return sieve, rows[sort], np.searchsorted(seed[sort], np.arange(len(sieve.known) + 1))
+
+    def hits(self, h: np.ndarray, first: np.ndarray):
+        """(n-gram of an item, word of a document) of all seeds found."""
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for n, (sieve, posting, edge) in ((SEED, self.seeds), (SEED + 1, self.longer)):
+            if len(sieve.known):
+                g, place = grams(h, first, n)
+                at, seed = sieve.find(g)
+                times = edge[seed + 1] - edge[seed]
+                which = posting[np.repeat(edge[seed], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+                out.append((which, np.repeat(place[at], times)))
+        return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+
+    def whole_lines(self, h: np.ndarray, first: np.ndarray, line: np.ndarray) -> list[tuple[int, int, float, int, int]]:
+        """The short items that are whole lines, each once a document."""
+        best: dict[tuple[int, int], tuple] = {}
+        doc = np.searchsorted(first, np.arange(len(h)), "right") - 1
+        begin = np.ones(len(h), bool)
+        begin[1:] = (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])
+        for n, sieve, own, items in self.short:
+            if len(h) < n:
+                continue
+            end = np.append(begin, True)[n:]  # by place: whether the word after the next n - 1 begins a line
+            place = np.flatnonzero(begin[: len(h) - n + 1] & end)
+            for k in range(1, n):
+                place = place[~begin[place + k]]
+            weight, acc = seeds(n, 2000), np.zeros(len(place), U)
+            with np.errstate(over="ignore"):
+                for k in range(n):
+                    acc += h[place + k] * weight[k]
+                g = mix(acc)
+            for i in sieve.find(g)[0].tolist():
+                for item in (k for k, x in zip(items, own.tolist()) if x == int(g[i])):
+                    d, at = int(doc[place[i]]), int(place[i])
+                    best.setdefault((d, item), (1.0, at - int(first[d]), at - int(first[d]) + n - 1))
+        return [(d, k, *v) for (d, k), v in best.items()]
 
     def align(self, item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
         """The best local alignment's score, and where it ends in the passage."""
@@ -154,16 +214,12 @@ class Benchmark:
                 best, end = float(row[k]), k
         return best, end
 
-    def matches(self, h: np.ndarray, first: np.ndarray, threshold: float) -> list[tuple[int, int, float, int, int]]:
+    def matches(self, h: np.ndarray, first: np.ndarray, line: np.ndarray, threshold: float) -> list[tuple[int, int, float, int, int]]:
         """(document, item, score, first word, last word) of the documents' best passages by item."""
-        g, place = grams(h, first)
-        at, seed = self.seeds.find(g)
-        if not len(at):
-            return []
-        posting, edge = self.postings
-        times = edge[seed + 1] - edge[seed]
-        which = posting[np.repeat(edge[seed], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-        word = np.repeat(place[at], times)
+        lines = self.whole_lines(h, first, line) if self.short else []
+        which, word = self.hits(h, first)
+        if not len(which):
+            return lines
         doc = np.searchsorted(first, word, "right") - 1
         item, begin = self.item_of[which], word - self.offset_of[which]
         order = np.lexsort((begin, item, doc))
@@ -188,7 +244,7 @@ class Benchmark:
             if score >= threshold * whole and score / whole > best.get((d, k), (0.0,))[0]:
                 _, back = self.align(own[::-1], passage[:end][::-1])
                 best[d, k] = (score / whole, lo + end - back - int(first[d]), lo + end - 1 - int(first[d]))
-        return [(d, k, *v) for (d, k), v in best.items()]
+        return lines + [(d, k, *v) for (d, k), v in best.items()]
 
 
 def parts_of(benchmark: DataFrame) -> list[Benchmark]:
@@ -203,7 +259,7 @@ def parts_of(benchmark: DataFrame) -> list[Benchmark]:
 def weighed(docs: DataFrame, benchmark: DataFrame) -> list[Benchmark]:
     found = []
     for bench in parts_of(benchmark):
-        if not len(bench.grams.known):
+        if bench.empty():
             continue
 
         def count(it, bench=bench):
@@ -212,7 +268,7 @@ def weighed(docs: DataFrame, benchmark: DataFrame) -> list[Benchmark]:
             for _, _, _, data, off in document_batches(it):
                 n_docs += len(off) - 1
                 for lo, hi in runs(off):
-                    h, first = hashed_words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                    h, first, _ = hashed_words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                     g, place = grams(h, first)
                     for sieve, x, where, base in ((bench.words, h, None, 0), (bench.grams, g, place, n_words)):
                         at, k = sieve.find(x)
@@ -247,8 +303,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
             for ids, null, _, data, off in document_batches(it):
                 rows = []
                 for lo, hi in runs(off):
-                    h, first = hashed_words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                    rows += [(None if null[lo + d] else int(ids[lo + d]), bench.names[k], s, a, b) for d, k, s, a, b in bench.matches(h, first, threshold)]
+                    h, first, line = hashed_words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                    rows += [(None if null[lo + d] else int(ids[lo + d]), bench.names[k], s, a, b) for d, k, s, a, b in bench.matches(h, first, line, threshold)]
                 if rows:
                     c = list(zip(*rows))
                     yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.float64()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.int64())], ["doc_id", "item_id", "score", "first_word", "last_word"])
@@ -274,8 +330,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
                 data, off = views(text)
                 keep = np.ones(batch.num_rows, bool)
                 for lo, hi in runs(off) if batch.num_rows else ():
-                    h, first = hashed_words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                    keep[[lo + m[0] for m in shared.value.matches(h, first, threshold)]] = False
+                    h, first, line = hashed_words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                    keep[[lo + m[0] for m in shared.value.matches(h, first, line, threshold)]] = False
                 yield batch.filter(pa.array(keep))
 
         out = out.mapInArrow(run, docs.schema)

@@ -3,22 +3,30 @@
 Every WINDOW bytes of a text are a feature. Features are ranked by how rare their entropy is: the
 entropy, in 1001 steps, gives the rank that its step has in the corpus's own distribution, rarest
 first; nearly uniform runs of one byte (below WEAK steps) come last. A feature that is the leftmost
-of the lowest rank in at least POPULAR of the spans of SPAN successive features that hold it is
-selected. Selected features go, five bits each, into Bloom filters of 2048 bits, PER_FILTER features
-to a filter, then the next of the chain.
+of the lowest rank in at least POPULAR of the SPAN spans of SPAN successive features that hold it is
+selected; spans reach over both ends of a text, so every text has one. Selected features go, five bits
+each, into Bloom filters of 2048 bits, PER_FILTER features to a filter, then the next of the chain.
 
 Two digests are compared filter by filter: the bits that both have, less what chance would give, over
 the most that they could have; each filter of the shorter digest takes its best partner, and the
 means over filters is the likeness.
 
+Documents are dealt to ranges of (doc_id, text hash) that hold about the same bytes, whose limits come
+from the running sum of all documents' sizes. So neither one doc_id nor one text can fill a range with
+more than its own distinct rows: rows equal in both go as one with their number.
+
 Defined cases: null and empty texts have no features; texts shorter than WINDOW bytes are one
 feature; digests without features are alike to each other (1) and unlike all others (0); rows are
-ordered by doc_id (nulls first) and text hash, so repeated ids and rows have a next row too.
+ordered by doc_id (nulls first) and text hash, so repeated ids and rows have a next row too; after the
+last comes the first, so a table of one row follows itself; an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
+from bisect import bisect_right
+from collections import Counter
 from hashlib import sha256
 
 import numpy as np
@@ -26,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import EXCHANGE, FLUSH, NULL_ID, Polynomial, batches, blobs_by_bucket, buckets, document_batches, exchanged, freeze, nullable_ids, runs, text_columns, thaw
+from siltbed.llm.common import EXCHANGE, FLUSH, Polynomial, batches, blobs_by_bucket, buckets, checkpointed, document_batches, exchanged, freeze, nullable_ids, runs, text_columns, thaw
+from siltbed.operators.positions import with_positions
 
 WINDOW, SPAN, POPULAR, WEAK = 32, 32, 8, 100
 BITS, PER_FILTER = 2048, 128
@@ -55,12 +64,13 @@ def entropies(data: np.ndarray) -> np.ndarray:
     return np.rint((high - sums / (WINDOW * 65536)) * (1000 / high)).astype(np.int16)
 
 
-def ranks(docs: DataFrame) -> np.ndarray:
-    """By step of entropy its rank, 0 for the rarest, from the windows of all documents."""
+def surveyed(docs: DataFrame) -> DataFrame:
+    """(kind, a, b, c): of kind 0 doc_id, text hash and bytes of every document (once a task), of kind 1
+    a step of entropy and its windows."""
 
     def run(it):
-        total = np.zeros(STEPS, np.int64)
-        for _, _, _, data, off in document_batches(it):
+        total, known = np.zeros(STEPS, np.int64), set()
+        for ids, _, thash, data, off in document_batches(it):
             for lo, hi in runs(off):
                 e = entropies(data[off[lo] : off[hi]])
                 o = off[lo : hi + 1] - off[lo]
@@ -68,23 +78,49 @@ def ranks(docs: DataFrame) -> np.ndarray:
                 for end in o[1:-1]:
                     inside[max(0, end - WINDOW + 1) : end] = False  # windows that cross into the next document
                 total += np.bincount(e[inside], minlength=STEPS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(STEPS), pa.int32()), pa.array(total, pa.int64())], ["step", "n"])
+            fresh = [i for i, x in enumerate(zip(ids.tolist(), thash.tolist())) if x not in known and not known.add(x)]
+            if len(known) > 1_000_000:
+                known.clear()
+            yield rows(np.zeros(len(fresh)), ids[fresh], thash[fresh], np.diff(off)[fresh])
+        yield rows(np.ones(STEPS), np.arange(STEPS), total, np.zeros(STEPS))
 
-    counts = np.zeros(STEPS, np.int64)
-    for r in text_columns(docs).mapInArrow(run, "step int, n long").groupBy("step").agg(F.sum("n").alias("n")).collect():  # STEPS rows
-        counts[r["step"]] = r["n"]
+    def rows(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["kind", "a", "b", "c"])
+
+    return checkpointed(text_columns(docs).mapInArrow(run, "kind long, a long, b long, c long"))
+
+
+def ranked(counts: np.ndarray) -> np.ndarray:
+    """By step of entropy its rank, 0 for the rarest, from the windows of each step."""
     order = np.lexsort((np.arange(STEPS), counts, np.arange(STEPS) < WEAK))
     rank = np.empty(STEPS, np.int64)
     rank[order] = np.arange(STEPS)
     return rank
 
 
+def ranks(survey: DataFrame) -> np.ndarray:
+    counts = np.zeros(STEPS, np.int64)
+    for r in survey.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).collect():  # STEPS rows
+        counts[r["a"]] = r["n"]
+    return ranked(counts)
+
+
+def limits(survey: DataFrame, n: int) -> list[tuple[int, int]]:
+    """The first (doc_id, text hash) of each of at most n ranges of about the same bytes."""
+    names = survey.where("kind = 0").groupBy("a", "b").agg(F.max("c").alias("c"))
+    total = names.agg(F.sum(F.col("c") + 64).alias("n")).first()["n"] or 0
+    placed = with_positions(names, [F.col("a"), F.col("b")], F.col("c") + 64)
+    firsts = placed.groupBy(F.expr(f"off * {n} div {max(total, 1)}")).agg(F.min(F.struct("a", "b")).alias("name")).collect()  # a row a range
+    return sorted((r["name"]["a"], r["name"]["b"]) for r in firsts)
+
+
 def digests(data: np.ndarray, off: np.ndarray, rank: np.ndarray) -> list[np.ndarray]:
     """Of each document its filters, as an array of (filters, BITS / 64) words, features in order."""
     out: list[np.ndarray] = []
     poly = Polynomial(data)
     e = entropies(data)
     key = rank[e] << 32 | np.arange(len(e))
+    beyond = np.full(SPAN - 1, np.iinfo(np.int64).max)  # SPAN is a power of two
     for a, b in zip(off[:-1], off[1:]):
         n = b - a - WINDOW + 1
         if b == a:
@@ -93,16 +129,13 @@ def digests(data: np.ndarray, off: np.ndarray, rank: np.ndarray) -> list[np.ndar
         if n <= 0:
             h = poly.ranges(np.array([a]), np.array([b]))
         else:
-            own = key[a : a + n]
+            own = np.concatenate([beyond, key[a : a + n], beyond])
             width = 1
-            while width * 2 <= min(SPAN, n):
+            while width < SPAN:
                 own = np.minimum(own[:-width], own[width:])
                 width *= 2
-            if rest := min(SPAN, n) - width:
-                own = np.minimum(own[:-rest], own[rest:])
             place, wins = np.unique(own & 0xFFFFFFFF, return_counts=True)
-            if n > SPAN:
-                place = place[wins >= POPULAR] if (wins >= POPULAR).any() else place
+            place = place[wins >= POPULAR]
             h = poly.ranges(place, place + WINDOW)
             _, first = np.unique(h, return_index=True)
             h = h[np.sort(first)]
@@ -135,32 +168,15 @@ def written(d: np.ndarray) -> str:
 def fingerprints(docs: DataFrame, rank: np.ndarray | None = None) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited and near_next. The edited text is the document with its last quarter of code points
-    replaced by the first as many of the next document.
+    replaced by the first as many of the next document. Ranks of another corpus may be given.
 
-    Documents are dealt to ranges of doc_id, whose limits are quantiles of the ids; the first
-    documents of a range go to the range before as well, so that every last document meets its next."""
-    spark = docs.sparkSession
+    The first document of a range goes to the range before as well, as a guest, so that every last
+    document meets its next; the last range's guest is the first document of all."""
     n = buckets(docs)
-    if rank is None:
-        rank = ranks(docs)
-    keyed = text_columns(docs)
-    ids = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(int(NULL_ID))).alias("doc_id"))
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("cuts")).first()["cuts"] if n > 1 else []
-    cuts = np.unique(np.array(cuts or [], np.int64))
-    # one row for each range
-    def firsts_of(it):
-        low: dict[int, int] = {}
-        for batch in it:
-            v = batch.column("doc_id").to_numpy()
-            for b, x in zip(*(lambda w: (w, v))(np.searchsorted(cuts, v, "right"))):
-                if x < low.get(b, x + 1):
-                    low[b] = x
-        yield pa.RecordBatch.from_arrays([pa.array(list(low), pa.int32()), pa.array(list(low.values()), pa.int64())], ["bucket", "doc_id"])
-
-    firsts = {r["bucket"]: r["doc_id"] for r in ids.mapInArrow(firsts_of, "bucket int, doc_id long").groupBy("bucket").agg(F.min("doc_id").alias("doc_id")).collect()}
-    order = sorted(firsts)
-    before = {firsts[b]: order[k - 1] for k, b in enumerate(order)}  # the first range's first document follows the last range
-    guests = np.array(sorted(before), np.int64)
+    survey = surveyed(docs)
+    rank = ranks(survey) if rank is None else rank
+    cuts = limits(survey, n)
+    before = {name: (k - 1) % len(cuts) for k, name in enumerate(cuts)}
 
     def send(it):
         held, size = [], 0
@@ -170,15 +186,16 @@ def fingerprints(docs: DataFrame, rank: np.ndarray | None = None) -> DataFrame:
             lengths = np.concatenate([np.diff(p[4]) for p in held])
             data = np.concatenate([p[3] for p in held])
             off = np.concatenate([[0], np.cumsum(lengths)])
-            at = np.searchsorted(cuts, ids, "right")
-            again = np.flatnonzero(np.isin(ids, guests))
-            row = np.concatenate([np.arange(len(ids)), again])
-            to = np.concatenate([at, np.array([before[int(ids[i])] for i in again], np.int64)])
-            guest = np.arange(len(row)) >= len(ids)
-            for b in np.unique(to):
-                own = np.flatnonzero(to == b)
+            names = list(zip(ids.tolist(), thash.tolist()))
+            copies = Counter(names)
+            one = list({name: i for i, name in enumerate(names)}.items())  # rows equal in both, once
+            to = [(bisect_right(cuts, name) - 1, i, copies[name]) for name, i in one] + [(before[name], i, 0) for name, i in one if name in before]
+            to.sort()
+            at, row, times = (np.array(x, np.int64) for x in zip(*to))
+            for b in np.unique(at):
+                own = at == b
                 r = row[own]
-                yield int(b), 0, freeze({"guest": guest[own], "ids": ids[r], "null": null[r], "thash": thash[r], "len": lengths[r], "data": np.concatenate([data[off[i] : off[i + 1]] for i in r])}, 3)
+                yield int(b), 0, freeze({"times": times[own], "ids": ids[r], "null": null[r], "thash": thash[r], "len": lengths[r], "data": np.concatenate([data[off[i] : off[i + 1]] for i in r])}, 3)
 
         def rows():
             nonlocal held, size
@@ -197,10 +214,9 @@ def fingerprints(docs: DataFrame, rank: np.ndarray | None = None) -> DataFrame:
         for _, blobs in blobs_by_bucket(it):
             parts = [thaw(b) for _, b in blobs]
             del blobs
-            x = {k: np.concatenate([p[k] for p in parts]) for k in ("guest", "ids", "null", "thash", "len")}
+            x = {k: np.concatenate([p[k] for p in parts]) for k in ("times", "ids", "null", "thash", "len")}
             base = np.concatenate([[0], np.cumsum([len(p["len"]) for p in parts])])
             offs = [np.concatenate([[0], np.cumsum(p["len"])]) for p in parts]
-            order = np.lexsort((x["thash"], x["ids"], x["guest"]))
 
             def text(i):
                 p = int(np.searchsorted(base, i, "right")) - 1
@@ -208,35 +224,44 @@ def fingerprints(docs: DataFrame, rank: np.ndarray | None = None) -> DataFrame:
                 k = i - base[p]
                 return parts[p]["data"][o[k] : o[k + 1]].tobytes()
 
-            own = order[: int((~x["guest"]).sum())]
-            # the next of the last: the first guest; guests come last in the order
-            held, size = [], 0
-
-            def emit(held):
-                """held: row numbers, then the one that follows them."""
-                raw = [text(i) for i in held]
+            # own documents in order, each with its number of rows, then the guest
+            order = np.lexsort((x["thash"], x["ids"], x["times"] == 0))
+            same = np.zeros(len(order), bool)
+            same[1:] = (x["ids"][order][1:] == x["ids"][order][:-1]) & (x["thash"][order][1:] == x["thash"][order][:-1]) & ((x["times"][order][1:] == 0) == (x["times"][order][:-1] == 0))
+            begin = np.flatnonzero(~same)
+            own, times = order[begin], np.add.reduceat(x["times"][order], begin)
+            last = int((times > 0).sum())
+
+            def emit(lo, hi):
+                """Documents lo to hi - 1 of the order, and the one that follows them."""
+                raw = [text(i) for i in own[lo : hi + 1]]
                 texts = [r.decode() for r in raw]
+                again = [k for k in range(hi - lo) if times[lo + k] > 1]  # their own next, but for the last row
+                edits = [(k, k + 1) for k in range(hi - lo)] + [(k, k) for k in again]
                 edited = []
-                for a, b in zip(texts[:-1], texts[1:]):
-                    k = len(a) // 4
-                    edited.append((a[: len(a) - k] + b[:k]).encode())
+                for i, j in edits:
+                    k = len(texts[i]) // 4
+                    edited.append((texts[i][: len(texts[i]) - k] + texts[j][:k]).encode())
                 every = raw + edited
                 off = np.concatenate([[0], np.cumsum([len(r) for r in every])])
                 found = digests(np.frombuffer(b"".join(every), np.uint8), off, rank)
-                m = len(held) - 1
-                plain, changed = found[: m + 1], found[m + 1 :]
-                r = np.array(held[:m])
-                return pa.RecordBatch.from_arrays(
-                    [nullable_ids(x["ids"][r], x["null"][r]), pa.array([len(t) for t in texts[:m]], pa.int64()), pa.array([sha256(e).hexdigest() for e in edited]), pa.array([written(d) for d in plain[:m]]), pa.array([written(d) for d in changed]), pa.array([likeness(a, b) for a, b in zip(plain, changed)], pa.float64()), pa.array([likeness(a, b) for a, b in zip(plain[:-1], plain[1:])], pa.float64())],
+                plain, changed = found[: len(raw)], found[len(raw) :]
+                row = np.array([e[0] for e in edits])
+                made = pa.RecordBatch.from_arrays(
+                    [nullable_ids(x["ids"][own[lo + row]], x["null"][own[lo + row]]), pa.array([len(texts[i]) for i, _ in edits], pa.int64()), pa.array([sha256(e).hexdigest() for e in edited]), pa.array([written(plain[i]) for i, _ in edits]), pa.array([written(d) for d in changed]), pa.array([likeness(plain[i], d) for (i, _), d in zip(edits, changed)], pa.float64()), pa.array([likeness(plain[i], plain[j]) for i, j in edits], pa.float64())],
                     ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
                 )
-
-            for k, i in enumerate(own):
-                held.append(i)
-                size += x["len"][i]
-                if size > (1 << 18) or k == len(own) - 1:
-                    yield emit([*held, order[k + 1]])
-                    held, size = [], 0
+                yield made.slice(0, hi - lo)
+                for k, i in enumerate(again):
+                    for done in range(0, int(times[lo + i]) - 1, 1000):
+                        yield made.take(pa.array([hi - lo + k] * min(1000, int(times[lo + i]) - 1 - done)))
+
+            lo, size = 0, 0
+            for k in range(last):
+                size += int(x["len"][own[k]])
+                if size > (1 << 18) or k == last - 1:
+                    yield from emit(lo, k + 1)
+                    lo, size = k + 1, 0
 
     out = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return exchanged(keyed.mapInArrow(send, EXCHANGE), n).mapInArrow(compare, out)
+    return exchanged(text_columns(docs).mapInArrow(send, EXCHANGE), n).mapInArrow(compare, out)

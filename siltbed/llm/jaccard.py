@@ -8,38 +8,60 @@ documents), by hash within. A set of s shingles can miss at most m = s - ceil(pe
 them in a partner.
 
 * With more than m rare shingles, the prefix is the first m + EXTEND rare ones (fewer if it has fewer),
-  each indexed by itself. Of a prefix of p, partners share at least p - m, so candidate pairs are
-  counted over all signatures and the rest dropped before any text moves.
+  each indexed by itself. Of a prefix of p, partners share at least p - m.
 * Otherwise the prefix goes on into the frequent ones, dealt by hash into sub-classes, until the rare
   ones and, from each sub-class of c, c - 1 come to m + 1; indexed are the rare ones by themselves and
   all pairs of a sub-class. m missing shingles cannot break them all. The number of sub-classes
   follows the size level (powers of 100 / percent), and a set is indexed at its own level and the
   next, so that partners have one in common.
 
-Candidates come from signature groups of rare shingles, each smaller than the limit of the frequent
-ones, or of pairs; sizes and counts filter them; the sets themselves verify every one. Components of
-the links are found by iteration over checkpoints.
+Signatures that one set alone has go, and so do sets that share fewer than any partner would have to.
+What is left are rows (signature, set): groups of any size, never listed in one place.
+
+Union first, then only what is not tied yet:
+
+1. Rounds. Of each group two sets, drawn by hash, are pivots. A set meets the pivot that it shares most
+   signatures with, if those are as many as partners must share: at most two pairs a set and round.
+   Pairs are verified on the whole sets, links give components. In a cluster of near copies, however
+   large, most sets are then tied, and a group whose sets are all in one component is done. Rounds go on
+   while they at least halve the pairs that are left and those are many more than the rows.
+2. The rest: sets of one group but different components, with sizes that can link. In groups of more
+   than LARGE sets only those sets are paired that have as many large groups as partners must share
+   signatures; two others that link have a smaller group in common. Pairs that share too few
+   signatures, or were verified before, go; the others are verified.
+
+So no pair of sets that could link is left out unless both are in one component already. Every pair is
+a row of a join; work() counts them. With counts=True no round is made and every candidate is
+verified, which costs the square of a cluster's distinct sets, because the number of links needs each.
 
 The frequent shingles are broadcast: at most (sum of set sizes) / limit <= 5000 x the mean set size,
 however many documents there are.
 
 Defined cases: documents without words (or text) have no set and link with nothing; one with fewer
 than n words has its whole sequence as its one shingle; repeated rows link as equal sets; rows with
-null ids are given back with a null component, link with nothing and lead to nothing.
+null ids are given back with a null component, link with nothing and lead to nothing; an empty table
+gives no rows; other columns are not read, or given back as they are.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import EXCHANGE, FLUSH, U, UnionFind, batches, blobs_by_bucket, bucket_of, buckets, checkpointed, components, distinct, document_batches, exchanged, freeze, joined, mix, nullable_ids, pack, runs, shingles, text_columns, text_hash, thaw
+from siltbed.llm.common import CHUNK, EXCHANGE, FLUSH, U, batches, blobs_by_bucket, bucket_of, buckets, checkpointed, components, distinct, document_batches, exchanged, freeze, joined, mix, nullable_ids, pack, runs, shingles, text_columns, text_hash, thaw
 
 EXTEND = 16
-#: Homes of a class's verifications.
-SALT = 8
+#: Sets of a signature that a task sends to the signature's own bucket.
+HEAD = 64
+#: Sets of a group from which on only those are paired that have many such groups.
+LARGE = 64
+#: Pairs left for a row of signatures that need no further round.
+FAIR = 4
+#: Pairs of one set that are verified together.
+SPLIT = 256
 #: Bytes of shingles or signatures that a task gathers, and counts or thins out together.
 GATHER = 48 << 20
 
@@ -113,11 +135,10 @@ class Signer:
         return s - -(-self.percent * s // 100)
 
     def level(self, s: int) -> int:
-        return int(np.log(s) / np.log(100 / self.percent) + 1e-9)
+        return int(np.log(s) / np.log(100 / self.percent) + 1e-9) if self.percent < 100 else 0  # of 100, only equal sets link
 
     def classes(self, level: int) -> int:
-        size = (100 / self.percent) ** level
-        return max(4, int(0.04 * size)) if size >= 32 else 1  # small sets have no shingles to spare for more
+        return max(1, int(0.04 * (100 / self.percent) ** level))  # small sets have no shingles to spare for more
 
     def sign(self, h, edges, doc_of_set):
         """(signature, document, shared): signatures of the sets doc_of_set, and how many of a
@@ -167,31 +188,34 @@ class Signer:
         return np.concatenate(out) if out else np.empty(0, U)
 
 
-def links(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """What the links between different sets come to, by task: rows (u, v, null) tie a set fingerprint
-    to the smallest of those that the task's links join with it; rows (u, null, n) give the number of
-    rows whose sets u links with there. Links themselves stay in the task that verifies them."""
+def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(fp, sig, size, need): the signatures that several sets have, of the sets that share as many as a
+    partner must have in common with them."""
     parts = buckets(docs)
-    total = docs.count()
-    signer = Signer(frequent(docs, n, max(32, total // 5000), parts), percent)
-    session = docs.sparkSession.sparkContext
-    shared = session.broadcast(signer.often)
+    signer = Signer(frequent(docs, n, max(32, docs.count() // 5000), parts), percent)
+    shared = docs.sparkSession.sparkContext.broadcast(signer.often)
 
     def index(it):
         own = Signer(shared.value, percent)
         held, size = [], 0
 
         def rows():
-            sig = np.concatenate([x[0] for x in held])
-            by = bucket_of(mix(sig), parts)
-            fp, count, need = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3))
+            sig, fp, count, need = (np.concatenate([x[k] for x in held]) for k in range(4))
             # each set once: copies in this task have the same signatures
             order = np.lexsort((fp, sig))
-            first = np.ones(len(sig), bool)
-            first[1:] = (sig[order][1:] != sig[order][:-1]) | (fp[order][1:] != fp[order][:-1])
-            keep = order[first]
-            for b, blob in pack({"sig": sig[keep], "fp": fp[keep], "n": count[keep], "need": need[keep]}, by[keep], parts):
-                yield b, 0, blob
+            sig, fp, count, need = sig[order], fp[order], count[order], need[order]
+            new, first = np.ones(len(sig), bool), np.ones(len(sig), bool)
+            new[1:] = sig[1:] != sig[:-1]
+            first[1:] = new[1:] | (fp[1:] != fp[:-1])
+            sig, fp, count, need, new = sig[first], fp[first], count[first], need[first], new[first]
+            # of a group's sets in this task HEAD go to the signature's bucket, which so never holds a
+            # large group; the others, surely shared, to buckets of their own
+            at = np.arange(len(sig))
+            more = at - np.maximum.accumulate(np.where(new, at, 0)) >= HEAD
+            for kind, rest in ((0, ~more), (1, more)):
+                by = bucket_of(mix(sig[rest] if kind == 0 else fp[rest]), parts)
+                for b, blob in pack({"sig": sig[rest], "fp": fp[rest], "n": count[rest], "need": need[rest]}, by, parts):
+                    yield b, kind, blob
 
         known = set()
         for _, _, _, h, edges, fp, _, _ in chunks_of_sets(it, n):
@@ -211,66 +235,48 @@ def links(docs: DataFrame, n: int, percent: int) -> DataFrame:
         if held:
             yield from batches(rows())
 
-    def propose(it):
-        """Pairs of a bucket with the number of signatures that they share there."""
-        for _, blobs in blobs_by_bucket(it):
-            x = joined([b for _, b in blobs], ["sig", "fp", "n", "need"], [U, U, np.uint32, np.uint16])
-            order = np.lexsort((x["fp"], x["sig"]))
-            sig, fp, size, need = (x[k][order] for k in ("sig", "fp", "n", "need"))
-            new = np.ones(len(sig), bool)
-            new[1:] = (sig[1:] != sig[:-1]) | (fp[1:] != fp[:-1])
-            sig, fp, size, need = sig[new], fp[new], size[new].astype(np.int64), need[new]
-            names, node = np.unique(fp, return_inverse=True)
-            size_of, need_of = np.zeros(len(names), np.int64), np.zeros(len(names), np.uint16)
-            size_of[node], need_of[node] = size, need
-            at = np.arange(len(sig))
-            keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-            waiting, held = [], 0
-
-            def settle():
-                k = np.concatenate([keys, *waiting])
-                c = np.concatenate([counts, *(np.ones(len(w), np.int64) for w in waiting)])
-                k, where = np.unique(k, return_inverse=True)
-                return k, np.bincount(where, c).astype(np.int64)
-
-            for lag in range(1, len(sig)):
-                at = at[at + lag < len(sig)]
-                at = at[sig[at + lag] == sig[at]]
-                if not len(at):
-                    break
-                a, b = size[at], size[at + lag]
-                near = at[np.minimum(a, b) * 100 >= percent * np.maximum(a, b)]
-                waiting.append(node[near] * len(names) + node[near + lag])  # fp ascends within a group
-                held += len(near)
-                if held > 2_000_000:
-                    keys, counts = settle()
-                    waiting, held = [], 0
-            keys, counts = settle()
-            a, b = keys // max(1, len(names)), keys % max(1, len(names))
-            left, right = names[a], names[b]
-            with np.errstate(over="ignore"):
-                by = bucket_of(mix(left * U(3) + right), parts)
-            for row in pack({"a": left, "b": right, "c": counts.astype(np.uint32), "need": np.minimum(need_of[a], need_of[b])}, by, parts):
-                yield row[0], 0, row[1]
-
-    def confirm(it):
-        """Pairs that share enough signatures; each asks for the texts of its two sets."""
+    def thin(it):
+        """The rows of signatures that several sets have, with the least need of their sets."""
         for _, blobs in blobs_by_bucket(it):
-            x = joined([b for _, b in blobs], ["a", "b", "c", "need"], [U, U, np.uint32, np.uint16])
-            order = np.lexsort((x["b"], x["a"]))
-            a, b, c, need = (x[k][order] for k in ("a", "b", "c", "need"))
-            if not len(a):
-                continue
-            first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-            keep = np.add.reduceat(c.astype(np.int64), first) >= np.minimum.reduceat(need, first)
-            a, b = a[first][keep], b[first][keep]
-            # to the buckets of both: this set, its partner, whether it is the first of the two
-            me, other, lead = np.concatenate([a, b]), np.concatenate([b, a]), np.repeat([True, False], len(a))
-            for row in pack({"me": me, "other": other, "lead": lead}, bucket_of(me, parts), parts):
-                yield row[0], 0, row[1]
+            for kind in (0, 1):
+                x = joined([b for k, b in blobs if k == kind], ["sig", "fp", "n", "need"], [U, U, np.uint32, np.uint16])
+                if not len(x["sig"]):
+                    continue
+                sig, fp, size, need = x["sig"], x["fp"], x["n"], x["need"].astype(np.int32)
+                least = np.ones(len(sig), np.int32)
+                if kind == 0:
+                    order = np.lexsort((fp, sig))
+                    sig, fp, size, need = sig[order], fp[order], size[order], need[order]
+                    begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+                    several = np.minimum.reduceat(fp, begin) != np.maximum.reduceat(fp, begin)
+                    width = np.diff(np.append(begin, len(sig)))
+                    least, keep = np.repeat(np.minimum.reduceat(need, begin), width), np.repeat(several, width)
+                    sig, fp, size, need, least = sig[keep], fp[keep], size[keep], need[keep], least[keep]
+                for lo in range(0, len(sig), 100_000):
+                    cut = slice(lo, lo + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(sig[cut].view(np.int64)), pa.array(fp[cut].view(np.int64)), pa.array(size[cut].astype(np.int32)), pa.array(need[cut]), pa.array(least[cut])], ["sig", "fp", "size", "need", "least"])
+
+    rows = exchanged(text_columns(docs).mapInArrow(index, EXCHANGE), parts).mapInArrow(thin, "sig long, fp long, size int, need int, least int")
+    rows = rows.repartition(parts, "fp").dropDuplicates(["fp", "sig"])
+    # partners share as many signatures as the smaller of their needs
+    able = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("k"), F.min("need").alias("own"), F.min("least").alias("least")).where(F.col("k") >= F.least("own", "least")).select("fp")
+    return checkpointed(rows.join(able, "fp", "left_semi").select("fp", "sig", "size", "need"))
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(fp, text): one compressed text of each wanted set, dealt by fp."""
+    parts = buckets(docs)
 
-    def send_texts(it):
-        held, size, times = [], 0, {}  # times: the rows of each set since the last flush
+    def ask(it):
+        def rows():
+            for batch in it:
+                fp = batch.column("fp").to_numpy().view(U)
+                yield from ((b, 0, blob) for b, blob in pack({"fp": fp}, bucket_of(fp, parts), parts))
+
+        yield from batches(rows())
+
+    def send(it):
+        held, size, known = [], 0, set()
 
         def rows():
             fp = np.array([x[0] for x in held], U)
@@ -278,126 +284,206 @@ def links(docs: DataFrame, n: int, percent: int) -> DataFrame:
             for b in np.unique(by):
                 own = np.flatnonzero(by == b)
                 yield int(b), 1, freeze({"fp": fp[own], "len": np.array([len(held[i][1]) for i in own], np.int64), "data": np.frombuffer(b"".join(held[i][1] for i in own), np.uint8)}, 3)
-                yield int(b), 2, freeze({"fp": fp[own], "n": np.array([times[int(x)] for x in fp[own]], np.int64)})
 
         for _, _, _, _, edges, fp, data, off in chunks_of_sets(it, n):
             for i in np.flatnonzero(np.diff(edges)):
-                name = int(fp[i])
-                times[name] = times.get(name, 0) + 1
-                if times[name] == 1:
+                if (name := int(fp[i])) not in known:
+                    known.add(name)
                     held.append((name, data[off[i] : off[i + 1]].tobytes()))
                     size += off[i + 1] - off[i]
             if size > FLUSH:
                 yield from batches(rows())
-                held, size, times = [], 0, {}
+                held, size, known = [], 0, set()
         if held:
             yield from batches(rows())
 
-    def home(a, b):
-        with np.errstate(over="ignore"):
-            return bucket_of(mix(a + b % U(SALT)), parts)
-
-    def forward(it):
-        """Sends each set that is asked for to the homes of its pairs."""
+    def pick(it):
         for _, blobs in blobs_by_bucket(it):
-            asked = joined([b for kind, b in blobs if kind == 0], ["me", "other", "lead"], [U, U, bool])
-            if not len(asked["me"]):
-                continue
-            order = np.argsort(asked["me"], kind="stable")
-            me, other, lead = (asked[k][order] for k in ("me", "other", "lead"))
-            left, right = np.where(lead, me, other), np.where(lead, other, me)
-            to = home(left, right)
-            told = joined([b for kind, b in blobs if kind == 2], ["fp", "n"], [U, np.int64])
-            sets, at = np.unique(told["fp"], return_inverse=True)
-            copies = np.bincount(at, told["n"]).astype(np.int64)
-            done, out, size = set(), {}, 0
-
-            def rows():
-                for b, texts in out.items():
-                    names = np.array(list(texts), U)
-                    pair = np.concatenate([texts[int(x)][1] for x in names])
-                    yield b, 0, freeze({"fp": names, "len": np.array([len(texts[int(x)][0]) for x in names], np.int64), "data": np.frombuffer(b"".join(texts[int(x)][0] for x in names), np.uint8), "copies": copies[np.searchsorted(sets, names)], "a": left[pair], "b": right[pair]}, 3)
-
+            asked = set(joined([b for kind, b in blobs if kind == 0], ["fp"], [U])["fp"].tolist())
             for kind, blob in blobs:
-                if kind != 1:
+                if kind != 1 or not asked:
                     continue
                 x = thaw(blob)
                 off = np.concatenate([[0], np.cumsum(x["len"])])
-                lo, hi = np.searchsorted(me, x["fp"]), np.searchsorted(me, x["fp"], "right")
-                for i in np.flatnonzero(hi > lo):
-                    if (name := int(x["fp"][i])) in done:
-                        continue
-                    done.add(name)
-                    text = x["data"][off[i] : off[i + 1]].tobytes()
-                    rows_of = np.arange(lo[i], hi[i])
-                    for b in np.unique(to[rows_of]).tolist():
-                        pair = rows_of[to[rows_of] == b]
-                        out.setdefault(b, {})[name] = (text, pair[lead[pair]])
-                        size += len(text)
-                    if size > FLUSH:
-                        yield from batches(rows())
-                        out, size = {}, 0
-            if out:
-                yield from batches(rows())
-
-    def verify(it):
-        for _, blobs in blobs_by_bucket(it):
-            sets, copies, a, b = {}, {}, [], []
-            for _, blob in blobs:
-                x = thaw(blob)
-                off = np.concatenate([[0], np.cumsum(x["len"])])
-                for lo, hi in runs(off):
-                    h, edges, _ = sets_of(x["data"][off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n)
-                    for i in range(lo, hi):
-                        sets[int(x["fp"][i])] = h[edges[i - lo] : edges[i - lo + 1]]
-                copies.update(zip(x["fp"].tolist(), x["copies"].tolist()))
-                a.append(x["a"])
-                b.append(x["b"])
-            pairs = np.unique(np.column_stack([np.concatenate(a), np.concatenate(b)]), axis=0)
-            ties, partners = UnionFind(), {}
-            for (u, v), (su, sv) in zip(pairs.tolist(), pairs.view(np.int64).tolist()):
-                x, y = sets[u], sets[v]
-                both = int(np.isin(x, y, assume_unique=True, kind="sort").sum())
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    ties.union(su, sv)
-                    partners[su] = partners.get(su, 0) + copies[v]
-                    partners[sv] = partners.get(sv, 0) + copies[u]
-            near = list(ties.parent)
-            for u, v, k in ((near, [ties.find(x) for x in near], [None] * len(near)), (list(partners), [None] * len(partners), list(partners.values()))):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (u, v, k)], ["u", "v", "n"])
-
-    texts = text_columns(docs)
-    proposed = exchanged(texts.mapInArrow(index, EXCHANGE), parts).mapInArrow(lambda it: batches(propose(it)), EXCHANGE)
-    asked = exchanged(proposed, parts).mapInArrow(lambda it: batches(confirm(it)), EXCHANGE)
-    met = exchanged(asked.unionByName(texts.mapInArrow(send_texts, EXCHANGE)), parts).mapInArrow(forward, EXCHANGE)
-    return exchanged(met, parts).mapInArrow(verify, "u long, v long, n long")
-
-
-def grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, thash, n_shingles, first (doc_id and thash of the group's first row) and n_links of
-    every row; first and n_links are null for rows without an id or words."""
+                own = [i for i, name in enumerate(x["fp"].tolist()) if name in asked and not asked.discard(name)]
+                if own:
+                    pressed = [zstandard.compress(x["data"][off[i] : off[i + 1]].tobytes(), 1) for i in own]
+                    yield pa.RecordBatch.from_arrays([pa.array(x["fp"][own].view(np.int64)), pa.array(pressed, pa.binary())], ["fp", "text"])
+
+    met = wanted.mapInArrow(ask, EXCHANGE).unionByName(text_columns(docs).mapInArrow(send, EXCHANGE))
+    found = exchanged(met, parts).mapInArrow(pick, "fp long, text binary")
+    # the checkpoint keeps partitions and order, so joins on fp move the pairs, not the texts
+    return checkpointed(found.repartition(parts, "fp").sortWithinPartitions("fp"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b, link) of pairs (a, b) of sets, by their whole sets. A set b of many pairs is split by a."""
+    often = checkpointed(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("parts")))
+    left = pairs.join(often, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
+    left = left.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a")
+    right = often.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b").select("b", "tb", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+    def compare(it):
+        for batch in it:
+            # a batch's sets, each once, a few at a time
+            a, b = batch.column("a").to_numpy().view(U), batch.column("b").to_numpy().view(U)
+            order = np.argsort(b, kind="stable")
+            texts_a, texts_b = batch.column("ta"), batch.column("tb")
+            link, lo = np.zeros(len(a), bool), 0
+            while lo < len(order):
+                raw, place, size, hi = [], {}, 0, lo
+                while hi < len(order) and (hi == lo or size < CHUNK):
+                    i = int(order[hi])
+                    for name, column in ((int(a[i]), texts_a), (int(b[i]), texts_b)):
+                        if name not in place:
+                            place[name] = len(raw)
+                            raw.append(zstandard.decompress(column[i].as_py()))
+                            size += len(raw[-1])
+                    hi += 1
+                own = order[lo:hi]
+                off = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+                h, edges, _ = sets_of(np.frombuffer(b"".join(raw), np.uint8), off, n)
+                x, y = (np.array([place[int(k)] for k in side[own]]) for side in (a, b))
+                sizes = np.diff(edges)
+                both = shared_counts(h, edges, x, y)
+                link[own] = 100 * both >= percent * (sizes[x] + sizes[y] - both)
+                lo = hi
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(link)], ["a", "b", "link"])
+
+    return left.join(right, ["b", "part"]).select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long, link boolean")
+
+
+def shared_counts(h: np.ndarray, edges: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many elements the sorted sets x[i] and y[i] have in common, for all i."""
+    sizes = np.diff(edges)
+    out = np.zeros(len(x), np.int64)
+    for lo in range(0, len(x), 512):
+        cut = slice(lo, lo + 512)
+        element, pair = [], []
+        for side in (x[cut], y[cut]):
+            n = sizes[side]
+            start = np.repeat(edges[side] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+            element.append(h[start + np.arange(n.sum())])
+            pair.append(np.repeat(np.arange(len(side)), n))
+        element, pair = np.concatenate(element), np.concatenate(pair)
+        order = np.lexsort((element, pair))
+        element, pair = element[order], pair[order]
+        again = (element[1:] == element[:-1]) & (pair[1:] == pair[:-1])
+        out[cut] = np.bincount(pair[1:][again], minlength=len(x[cut]))
+    return out
+
+
+def fits(a: str, b: str, percent: int):
+    """Whether sets of these sizes can link."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+
+def met_pivots(rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b): every set with at most one pivot of each of the two kinds, not of its own component."""
+    joined_ = rows.join(groups.where("low < high").select("sig", "pivots"), "sig").select("fp", "size", "need", "c", F.explode("pivots").alias("p"))
+    near = joined_.where(F.col("p").isNotNull() & (F.col("p.c") != F.col("c")) & fits("size", "p.size", percent))
+    counted = near.groupBy("fp", F.col("p.fp").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first(F.least("need", "p.need")).alias("need"), F.first("p.kind").alias("kind")).where("k >= need")
+    best = counted.groupBy("fp", "kind").agg(F.max(F.struct("k", "b")).alias("best"))
+    return best.select(F.col("fp").alias("a"), F.col("best.b").alias("b"))
+
+
+def untied(rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: pairs of sets of one group and different components that share enough signatures."""
+    rows = rows.join(groups.where("low < high").select("sig", (F.col("n") > LARGE).alias("large")), "sig")
+    load = rows.groupBy("fp").agg(F.sum(F.col("large").cast("int")).alias("b"))
+    rows = checkpointed(rows.join(load, "fp").withColumn("spare", F.col("b") < F.col("need")))
+    x, y = (rows.select("sig", "large", *[F.col(c).alias(f"{c}_{side}") for c in ("fp", "size", "need", "c", "b", "spare")]) for side in "xy")
+
+    def paired(large: bool, condition) -> DataFrame:
+        left = x.where("large and not spare_x") if large else x.where("not large")
+        other = y.where("large" if large else "not large").drop("large")
+        both = left.drop("large").join(other, "sig").where("c_x <> c_y").where(fits("size_x", "size_y", percent)).where(condition)
+        least = F.least("need_x", "need_y") - F.when(F.col("spare_x") & F.col("spare_y"), F.least("b_x", "b_y")).otherwise(0)
+        return both.select(F.least("fp_x", "fp_y").alias("a"), F.greatest("fp_x", "fp_y").alias("b"), least.alias("least"))
+
+    every = paired(False, "fp_x < fp_y").unionByName(paired(True, "spare_y or fp_x < fp_y"))
+    return every.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.first("least").alias("least")).where("k >= least").select("a", "b")
+
+
+def links(docs: DataFrame, n: int, percent: int, counts: bool = False) -> tuple[DataFrame, dict]:
+    """(u, v): links between different sets whose components are those of all links; with counts, all
+    links. And what was done: rounds, rows (signatures of sets), pairs verified by round, pairs verified
+    in the rest, and links."""
+    rows = signatures(docs, n, percent)
+    done = {"rows": rows.count(), "rounds": [], "rest": 0, "links": 0}
+    nothing = docs.sparkSession.createDataFrame([], "u long, v long")
+    if not done["rows"]:
+        return nothing, done
+    texts = texts_of(docs, rows.select("fp").distinct(), n)
+    tried = None  # all verified pairs
+    labelled, before = rows.withColumn("c", F.col("fp")), None
+    while True:
+        draw = F.xxhash64("fp", F.lit(len(done["rounds"])))
+        pivot = [F.min(F.when(F.pmod(draw, F.lit(2)) == k, F.struct(draw.alias("draw"), "fp", "size", "need", "c", F.lit(k).alias("kind")))) for k in (0, 1)]
+        by_component = labelled.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("n"), *[p.alias(f"p{k}") for k, p in enumerate(pivot)])
+        groups = checkpointed(by_component.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("tied"), F.array(F.min("p0"), F.min("p1")).alias("pivots")))
+        left = groups.where("low < high").agg(F.sum((F.col("n") * F.col("n") - F.col("tied")) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
+        if counts or not left["rows"] or (before is not None and (left["pairs"] <= FAIR * left["rows"] or left["pairs"] > before / 2)):
+            break
+        before = left["pairs"]
+        found = checkpointed(verified(met_pivots(labelled, groups, percent), texts, n, percent))
+        done["rounds"].append(found.count())
+        if not done["rounds"][-1]:
+            break
+        tried = found if tried is None else tried.unionByName(found)
+        tied = components(tried.where("link").select(F.col("a").alias("u"), F.col("b").alias("v")))
+        labelled = checkpointed(rows.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "sig", "size", "need", F.coalesce("component", "fp").alias("c")))
+    rest = untied(labelled, groups, percent)
+    if tried is not None:
+        rest = rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    rest = checkpointed(rest)
+    done["rest"] = rest.count()
+    if done["rest"]:
+        found = checkpointed(verified(rest, texts, n, percent))
+        tried = found if tried is None else tried.unionByName(found)
+    if tried is None:
+        return nothing, done
+    every = tried.where("link").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    done["links"] = every.count()
+    return every, done
+
+
+def work(docs: DataFrame, n: int, percent: int, counts: bool = False) -> dict:
+    """What the join of docs does: see links()."""
+    return links(docs.select("doc_id", "text").where("doc_id is not null"), n, percent, counts)[1]
+
+
+def grouped(docs: DataFrame, n: int, percent: int, counts: bool = False) -> DataFrame:
+    """doc_id, thash, n_shingles, class (doc_id of the first row with an equal set) and first (doc_id
+    and thash of the group's first row) of every row, and with counts n_links. Class, first and n_links
+    are null for rows without an id or words."""
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
     docs = docs.select("doc_id", "text")
     rows = checkpointed(members(docs, n))  # numbers only; several steps read them
     sets = rows.where("doc_id is not null and n_shingles > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "thash")).alias("head"), F.count(F.lit(1)).alias("copies"))
-    linked = checkpointed(links(docs.where("doc_id is not null"), n, percent))
-    found = components(linked.where("v is not null")).select(F.col("node").alias("fp"), "component")
+    linked, _ = links(docs.where("doc_id is not null"), n, percent, counts)
+    found = components(linked).select(F.col("node").alias("fp"), "component")
     classed = sets.join(found, "fp", "left").select("fp", "head", "copies", F.coalesce("component", "fp").alias("class"))
     heads = classed.groupBy("class").agg(F.min("head").alias("first"))
     # the groups meet sets, not rows: copies are then one row here
-    told = classed.join(heads, "class").select("fp", "first", "copies")
-    sums = linked.where("v is null").groupBy(F.col("u").alias("fp")).agg(F.sum("n").alias("partners"))
-    told = told.join(sums, "fp", "left").select("fp", "first", (F.col("copies") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links"))
+    told = classed.join(heads, "class").select("fp", "head", "first", "copies")
+    if counts:
+        both = linked.unionByName(linked.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        sums = both.join(sets.select(F.col("fp").alias("v"), "copies"), "v").groupBy(F.col("u").alias("fp")).agg(F.sum("copies").alias("partners"))
+        told = told.join(sums, "fp", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("partners", F.lit(0)))
     own = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    return rows.join(told, "fp", "left").select("doc_id", "thash", "n_shingles", F.when(own, F.col("first")).alias("first"), F.when(own, F.col("n_links")).alias("n_links"))
+    more = [F.when(own, F.col("n_links")).alias("n_links")] if counts else []
+    return rows.join(told.drop("copies"), "fp", "left").select("doc_id", "thash", "n_shingles", F.when(own, F.col("head.doc_id")).alias("class"), F.when(own, F.col("first")).alias("first"), *more)
 
 
-def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id that links lead to) and n_links (how many
-    other rows it links with, copies included) of every row."""
+def join(docs: DataFrame, n: int = 5, percent: int = 80, counts: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id that links lead to) and, with counts,
+    n_links (how many other rows it links with, copies included), else class_id (the smallest doc_id
+    with an equal set), of every row."""
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("first.doc_id", "doc_id"))
-    return grouped(docs, n, percent).select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    last = F.coalesce("n_links", F.lit(0)).alias("n_links") if counts else F.coalesce("class", "doc_id").alias("class_id")
+    return grouped(docs, n, percent, counts).select("doc_id", "n_shingles", component.alias("component_id"), last)
 
 
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

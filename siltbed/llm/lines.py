@@ -9,12 +9,13 @@ so that a common line spreads over as many partitions as it needs; in each parti
 sorted by hash, document (largest first) and read as a stream: the first document of a key keeps its
 lines, the others' lines go once `min_docs` documents are seen. Of keys that lie at the edges of
 partitions, at most min_docs documents a partition go to the driver, which settles them. Positions
-to drop come together by document and become a zlib-compressed bitmap of the lines to keep; texts
-never move for it.
+to drop come together by document and become a zlib-compressed bitmap of the lines to keep. Texts
+take no part in that; they move once when bitmaps are applied, in a join by document.
 
 Defined cases: a null or empty text is one empty line; rows that share a doc_id count as one
 document and all keep or lose a key's lines alike; documents that lose nothing have no bitmap; a
-null doc_id is a document smaller than all others; other columns are not read.
+null doc_id is a document smaller than all others; an empty table gives no rows; other columns are
+not read, or given back as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import NULL_ID, buckets, checkpointed, nullable_ids, text_columns
+from siltbed.llm.common import NULL_ID, buckets, checkpointed, nullable_ids, quoted, text_columns, text_hash
 
 MIN_CHARS, MIN_DOCS = 40, 5
 _SPACE = " \t\n\v\f\r"
@@ -168,20 +169,20 @@ def digests(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOC
 
 def applied(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """The documents, all columns, without the lines that go; n_chars, where there is one, follows."""
-    marks = bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias("_id"), F.col("thash").alias("_thash"), F.col("keep").alias("_keep"))
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    own = docs.select("*", F.coalesce(docs["doc_id"].cast("long"), F.lit(int(NULL_ID))).alias("_id"), F.xxhash64(text).alias("_thash"))
-    rows = own.join(marks, ["_id", "_thash"], "left").select(*[F.col(c) for c in docs.columns], "_keep")
+    marks = bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias("name"), F.col("thash").alias("hash"), "keep")
+    # the row itself in one column, so that its names meet no others
+    own = docs.select(F.struct(*[docs[quoted(c)] for c in docs.columns]).alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(int(NULL_ID))).alias("name"), text_hash(docs["text"]).alias("hash"))
+    rows = own.join(marks, ["name", "hash"], "left").select("row", "keep")
 
     def run(it):
         for batch in it:
-            at = batch.schema.get_field_index("text")
-            texts, keep = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-            new = [t if k is None else cut(t or "", k)[0] for t, k in zip(texts, keep)]
-            columns = list(batch.columns[:-1])
-            columns[at] = pa.array(new, batch.schema.field(at).type)
-            if (c := batch.schema.get_field_index("n_chars")) >= 0:
-                columns[c] = pa.array([old if k is None else len(t) for old, k, t in zip(batch.column(c).to_pylist(), keep, new)], batch.schema.field(c).type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+            columns, names, keep = batch.column("row").flatten(), [f.name for f in batch.schema.field("row").type], batch.column("keep").to_pylist()
+            at = names.index("text")
+            new = [t if k is None else cut(t or "", k)[0] for t, k in zip(columns[at].to_pylist(), keep)]
+            columns[at] = pa.array(new, columns[at].type)
+            if "n_chars" in names:
+                c = names.index("n_chars")
+                columns[c] = pa.array([old if k is None else len(t) for old, k, t in zip(columns[c].to_pylist(), keep, new)], columns[c].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return rows.mapInArrow(run, docs.schema)

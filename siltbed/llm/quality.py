@@ -4,24 +4,26 @@ Every line of a text is labelled good or bad. A line's features are shares and s
 words, and those of the lines beside it; a 2 x 2 table scores neighbouring labels. The score of a
 document is the mean of its lines' forward-backward marginals of `good`, weighted by the lines'
 lengths. Trained by maximum conditional likelihood with L2, each line of a labelled document taking
-the document's label, on a bounded sample of labelled rows.
+the document's label and documents of both labels weighing alike, on a bounded sample of labelled rows.
 
 Defined cases: null and empty texts are one empty line and get a score like any other; null or absent
-labels teach nothing; of several labels of an id the least counts; without labels of both kinds every
-score is 0.5; repeated rows give repeated results; other columns are not read.
+labels teach nothing; of several labels of an id the least counts, of several texts of an id the one
+with the smallest hash; without labels of both kinds every score is 0.5; repeated rows give repeated
+results; an empty table gives no rows; kept() gives all columns back as they are.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import PLAIN, Polynomial, runs, views, words
+from siltbed.llm.common import PLAIN, Polynomial, runs, text_hash, views, words
 
-#: The fit draws at most so many labelled documents, of at most so many bytes each.
-SAMPLE, SAMPLE_BYTES = 4000, 200_000
+#: The fit draws at most so many labelled documents, of at most so many bytes each, and of those the
+#: first by hash that have at most so many lines together.
+SAMPLE, SAMPLE_BYTES, SAMPLE_LINES = 4000, 200_000, 400_000
 L2, STEPS, RATE = 1e-3, 200, 0.1
 
 _KIND = np.full(256, 6, np.int64)  # other punctuation
@@ -98,9 +100,10 @@ def _norm(a):
     return high + np.log(np.exp(a - high).sum(-1, keepdims=True))
 
 
-def marginals(node: np.ndarray, edge: np.ndarray, per_doc: np.ndarray, expected: bool = False):
-    """By line the log-marginal potentials normalised to probabilities of (bad, good); with expected,
-    also the expected counts of neighbouring labels. node: (lines, 2); edge: (2, 2); all logarithms."""
+def marginals(node: np.ndarray, edge: np.ndarray, per_doc: np.ndarray, weight: np.ndarray | None = None):
+    """By line the log-marginal potentials normalised to probabilities of (bad, good); with weight (by
+    line), also the weighted expected counts of neighbouring labels. node: (lines, 2); edge: (2, 2);
+    all logarithms."""
     first, active = _layout(per_doc)
     ahead, back = np.zeros_like(node), np.zeros_like(node)
     for t, k in enumerate(active):
@@ -119,13 +122,13 @@ def marginals(node: np.ndarray, edge: np.ndarray, per_doc: np.ndarray, expected:
         high = nxt.max(2)
         b = high + np.log(np.exp(nxt - high[:, :, None]).sum(2))
         back[at] = b - _norm(b)
-        if expected:
+        if weight is not None:
             pair = ahead[at][:, :, None] + nxt
             pair = np.exp(pair - pair.max((1, 2), keepdims=True))
-            counts += (pair / pair.sum((1, 2), keepdims=True)).sum(0)
+            counts += (pair * (weight[at] / pair.sum((1, 2)))[:, None, None]).sum(0)
     both = ahead + back
     p = np.exp(both - _norm(both))
-    return (p, counts) if expected else p
+    return p if weight is None else (p, counts)
 
 
 class LineField:
@@ -144,28 +147,29 @@ class LineField:
         first = np.concatenate([[0], np.cumsum(per_doc)[:-1]])
         return np.clip(np.add.reduceat(good * length, first) / np.add.reduceat(length, first), 0.0, 1.0)
 
+    @staticmethod
+    def gradient(z, per_doc, label, weight, edge):
+        """Of the documents' conditional log-likelihoods, each weighted so that both labels weigh alike,
+        by line, less the L2 penalty: with regard to the node weights and the edge table."""
+        y = np.repeat(label, per_doc)
+        balance = np.array([0.5 / max(1e-9, (label == k).mean()) for k in (0, 1)])[y]
+        inner = np.ones(len(y), bool)  # lines with one before them in the document
+        inner[np.concatenate([[0], np.cumsum(per_doc)[:-1]])] = False
+        seen = np.diag([balance[inner & (y == k)].sum() for k in (0, 1)])  # a document's lines have one label
+        s = z @ weight
+        p, counts = marginals(np.column_stack([-s / 2, s / 2]), edge, per_doc, balance)
+        return z.T @ ((y - p[:, 1]) * balance) / len(y) - L2 * weight, (seen - counts) / len(y) - L2 * edge
+
     @classmethod
     def fit(cls, x: np.ndarray, per_doc: np.ndarray, label: np.ndarray) -> LineField:
-        """label: 0 or 1 by document. Adam on the conditional log-likelihood, documents of both labels
-        weighted alike."""
+        """label: 0 or 1 by document. Adam on the weighted conditional log-likelihood."""
         mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
         mean[0], scale[0] = 0, 1
         z = ((x - mean) / scale).astype(np.float64)
-        y = np.repeat(label, per_doc)
-        n = len(z)
-        balance = np.array([0.5 / max(1e-9, (label == k).mean()) for k in (0, 1)])
         weight, edge = np.zeros(z.shape[1]), np.zeros((2, 2))
-        firsts = np.zeros(n, bool)
-        firsts[np.concatenate([[0], np.cumsum(per_doc)[:-1]])] = True
-        seen = np.zeros((2, 2))  # a document's lines have one label
-        for k in (0, 1):
-            seen[k, k] = ((y == k) & ~firsts).sum()
         m1 = m2 = np.zeros(len(weight) + 4)
         for step in range(1, STEPS + 1):
-            s = z @ weight
-            p, counts = marginals(np.column_stack([-s / 2, s / 2]), edge, per_doc, True)
-            g = z.T @ ((y - p[:, 1]) * balance[y]) / n - L2 * weight
-            h = (seen - counts) / n - L2 * edge
+            g, h = cls.gradient(z, per_doc, label, weight, edge)
             grad = np.concatenate([g, h.ravel()])
             m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
             move = RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
@@ -173,9 +177,10 @@ class LineField:
         return cls(mean, scale, weight, edge)
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = SAMPLE) -> LineField | None:
+def fit(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = SAMPLE, most_lines: int = SAMPLE_LINES) -> LineField | None:
     """From the labelled documents that are not held out; held_out is an expression over doc_id. Draws
-    the `sample` labels with the smallest hash of doc_id."""
+    the `sample` labels with the smallest hash of doc_id, and their documents as far as they have
+    `most_lines` lines together."""
     drawn = labels.where("doc_id is not null and quality is not null").where(~held_out).groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(it):
@@ -186,9 +191,15 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = SAMP
                 first = np.concatenate([[0], np.cumsum(per_doc)])
                 yield pa.RecordBatch.from_arrays([batch.column("quality").slice(lo, hi - lo), pa.array([x[first[i] : first[i + 1]].tobytes() for i in range(hi - lo)], pa.binary())], ["quality", "lines"])
 
-    text = docs.select("doc_id", F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
-    # at most `sample` labels are broadcast, and as many documents collected
-    rows = text.join(F.broadcast(drawn), "doc_id").select("text", F.col("quality").cast("int").alias("quality")).mapInArrow(run, "quality int, lines binary").collect()
+    text = docs.select("doc_id", F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), text_hash(docs["text"]).alias("thash")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    lines = (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1).cast("long")
+    # at most `sample` labels are broadcast; one row of each is in one window, by hash
+    each = text.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct("thash", lines.alias("lines"))).alias("t"))
+    so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    chosen = each.select("doc_id", "quality", "t.thash", F.sum("t.lines").over(so_far).alias("total")).where(F.col("total") <= most_lines).drop("total")
+    # as many rows come to the driver, of `most_lines` lines together
+    picked = text.join(F.broadcast(chosen), ["doc_id", "thash"]).groupBy("doc_id", "thash", "quality").agg(F.first("text").alias("text"))
+    rows = picked.select("text", F.col("quality").cast("int").alias("quality")).mapInArrow(run, "quality int, lines binary").collect()
     label = np.array([min(1, max(0, r["quality"])) for r in rows], np.int64)
     if len(set(label.tolist())) < 2:
         return None

@@ -24,7 +24,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents"), n=4, percent=85)
+    return jaccard.join(table(spark, sf_dir, "documents"), n=4, percent=85, counts=False)
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

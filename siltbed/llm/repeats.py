@@ -6,22 +6,28 @@ same document and an earlier start). Strings never cross documents.
 Cutting the corpus into suffix arrays: each string of `length` bytes has an anchor, its GRAM-byte
 substring of the smallest hash (leftmost first), so equal strings have equal anchors at equal
 offsets. The successive strings of one anchor make a fragment; all that can be equal meets under the
-anchor's hash.
-
-1. Tasks find anchors. Of equal fragments (same anchor, same bytes) in a task all but the first are
-   whole repeats and go straight to their documents; so a passage that a third of all documents share
-   comes to its anchor's bucket once a task, not once a document.
-2. By anchor: of equal fragments all but the first are whole repeats. Anchors with several different
-   fragments ask for the bytes of one of each.
-3. By anchor: the fragments' suffixes are sorted and given the lengths of their common prefixes; a
-   stack scan builds the interval tree; an interval of at least `length` bytes whose occurrences differ
-   in the byte to their left (or have none) is a maximal repeat, put out with all its occurrences.
-   All occurrences but the first are repeats.
-4. Repeats come to their documents' texts, are united and cut.
+anchor's hash. Two suffixes of one fragment never share `length` bytes, as their anchors would stand
+apart.
+
+Fragments that are equal (64-bit hash of the bytes, and equal anchors) have equal suffixes: in the
+suffix array each is one entry with all its copies, a leaf of the interval tree whose common prefix
+is the whole fragment. Inner nodes come from the sorted suffixes of differing fragments of an anchor and
+the lengths of their common prefixes, by a stack scan; only suffixes that agree in their first
+`length` bytes are sorted together, which cuts the tree at that depth. Leaves and inner nodes that
+can't be extended to the left alike are the maximal repeats: all occurrences but the first are
+removed. maximal_repeats() is the only source of removals.
+
+1. Tasks find fragments. The copies within a task are settled there, so a passage that a third of all
+   documents share comes to its anchor's bucket once a task, not once a document.
+2. By anchor: fragments with their copies. The bytes of one copy of each are asked for where an anchor
+   has differing fragments. Anchors with more than HOT of these ask for single strings instead, which
+   go to buckets by their own first `length` bytes.
+3. By document: the bytes.
+4. By anchor or string: the tree. 5. Repeats come to their documents' texts, are united and cut.
 
 Defined cases: null and empty texts are no bytes; documents are ordered by doc_id (nulls first), then by
 text hash; rows equal in both are one document, and each gets its result; texts shorter than
-`length` stay whole; other columns are not read.
+`length` stay whole; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +42,9 @@ from siltbed.llm.common import EXCHANGE, FLUSH, U, Polynomial, batches, blobs_by
 
 LENGTH, GRAM = 100, 32
 #: Kinds of blobs, in the order in which a bucket reads them.
-SPANS, FRAGMENTS, TEXTS = 0, 1, 5
+SPANS, COPIES, FRAGMENTS, STRINGS, TEXTS = 0, 1, 2, 3, 5
+#: Differing fragments of an anchor from which on its strings are dealt by themselves.
+HOT = 1024
 #: Bytes of a text that are searched for anchors at once, and suffixes that are sorted at once.
 SEGMENT, SUFFIXES = 1 << 19, 60_000
 _LOW = U((1 << 22) - 1)
@@ -139,27 +147,40 @@ def interval_tree(lcp: list[int], least: int):
             stack.append((x, left))
 
 
-def maximal_repeats(group, frag, start, size, data, off, least: int = LENGTH):
-    """Groups (length, rows) over suffixes, which are rows of `frag` (fragment) and `start` (offset in it),
-    of `size` bytes; fragments of one `group` are compared. Rows are those of all occurrences."""
-    width = int(size.max())
-    # the texts at fixed width, padded: bytes beyond the end never count, as prefixes stop at the sizes
+def ranks(ids: np.ndarray, thash: np.ndarray) -> np.ndarray:
+    """The place of each document in the order; rows of one document have one."""
+    order = np.lexsort((thash, ids))
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[order][1:] != ids[order][:-1]) | (thash[order][1:] != thash[order][:-1])
+    out = np.empty(len(ids), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def inner_nodes(frag, start, key, size, left, data, off, least: int):
+    """(length, rows) of the maximal repeats among differing fragments. Rows are suffixes: `start` in
+    fragment `frag`, whose bytes are data[off[frag]:off[frag + 1]]; key: a hash of a suffix's first
+    `least` bytes, size: its bytes, left: the byte before it or -1."""
+    _, back, times = np.unique(key, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times[back] > 1)
+    if not len(shared):
+        return
+    frag, start, key, size, left = (x[shared] for x in (frag, start, key, size, left))
+    width = max(1, int(size.max()) - least)
     padded = np.concatenate([data, np.zeros(width, np.uint8)])
-    table = np.lib.stride_tricks.sliding_window_view(padded, width)[off[frag] + start].copy()
-    table[np.arange(width) >= size[:, None]] = 0
-    keyed = np.concatenate([group.astype(">u4").view(np.uint8).reshape(-1, 4), table], axis=1)
-    order = np.argsort(np.ascontiguousarray(keyed).view(f"S{width + 4}").ravel(), kind="stable")
-    keyed = keyed[order]
-    differ = keyed[1:, 4:] != keyed[:-1, 4:]
+    more = size - least
+    table = np.lib.stride_tricks.sliding_window_view(padded, width)[np.minimum(off[frag] + start + least, len(data))].copy()
+    table[np.arange(width) >= more[:, None]] = 0
+    # the size comes last, so that padding and real zero bytes don't mix
+    keyed = np.concatenate([key.astype(">u8").view(np.uint8).reshape(-1, 8), table, more.astype(">u4").view(np.uint8).reshape(-1, 4)], axis=1)
+    order = np.argsort(np.ascontiguousarray(keyed).view(f"S{width + 12}").ravel(), kind="stable")
+    keyed, key, more, left = keyed[order], key[order], more[order], left[order]
+    differ = keyed[1:, 8:-4] != keyed[:-1, 8:-4]
     lcp = np.where(differ.any(1), differ.argmax(1), width)
-    lcp = np.minimum(lcp, np.minimum(size[order][1:], size[order][:-1]))
-    lcp[group[order][1:] != group[order][:-1]] = 0
-    left = np.where(start > 0, padded[np.maximum(off[frag] + start - 1, 0)].astype(np.int64), -1)[order]
-    long = lcp >= least
-    if not long.any():
-        return
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], long.view(np.int8), [0]])))
+    lcp = np.where(key[1:] == key[:-1], np.minimum(lcp, np.minimum(more[1:], more[:-1])) + least, 0)
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], (lcp > 0).view(np.int8), [0]])))
     values = lcp.tolist()
+    order = shared[order]
     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):  # suffixes a to b
         if b - a == 1:
             if left[a] < 0 or left[a] != left[b]:
@@ -171,7 +192,30 @@ def maximal_repeats(group, frag, start, size, data, off, least: int = LENGTH):
                 yield value, order[a + lo : a + hi + 1]
 
 
-def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, int]:
+def maximal_repeats(owner, rank, pos, sizes, suffixes=None, least: int = LENGTH):
+    """(occurrence, start, length) of all occurrences of maximal repeats but the first of each.
+
+    Occurrences are rows (owner: their fragment, rank: their document's place, pos), those of a
+    fragment together, earliest first; sizes: bytes by fragment. suffixes: (frag, start, key, size,
+    left, data, off), as inner_nodes() takes them, of fragments that differ."""
+    lead = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))  # by fragment
+    first = lead[owner]
+    copy = np.flatnonzero((rank != rank[first]) | (pos != pos[first]))  # leaves
+    out = [(copy, np.zeros(len(copy), np.int64), sizes[owner[copy]])]
+    if suffixes is not None:
+        frag, start = suffixes[0], suffixes[1]
+        of, at = rank[lead[frag]], pos[lead[frag]] + start
+        for value, rows in inner_nodes(*suffixes, least):
+            if len(rows) == 2:
+                low = rows[0] if (of[rows[0]], at[rows[0]]) <= (of[rows[1]], at[rows[1]]) else rows[1]
+            else:
+                low = rows[np.lexsort((at[rows], of[rows]))[0]]
+            rest = rows[(of[rows] != of[low]) | (at[rows] != at[low])]
+            out.append((lead[frag[rest]], start[rest], np.full(len(rest), value)))
+    return tuple(np.concatenate([x[k] for x in out]) for k in range(3))
+
+
+def spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> tuple[DataFrame, int]:
     """Blobs of the repeats of each document, by the bucket of the document; the number of buckets."""
     parts = buckets(docs)
 
@@ -185,25 +229,21 @@ def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, int]:
                     column.append(x)
                 base += len(ids)
             ids, thash, h, fh, doc, pos, count = (np.concatenate(x) for x in lists)
-            rank = np.empty(len(ids), np.int64)
-            rank[np.lexsort((thash, ids))] = np.arange(len(ids))
-            order = np.lexsort((pos, rank[doc], fh))
-            again = np.zeros(len(h), bool)
-            again[1:] = (fh[order][1:] == fh[order][:-1]) & (h[order][1:] == h[order][:-1])
-            gone = order[again]
-            # equal rows are one document: their fragments are the same occurrence
-            first = order[np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))[again]]
-            same = (ids[doc[gone]] == ids[doc[first]]) & (thash[doc[gone]] == thash[doc[first]]) & (pos[gone] == pos[first])
-            repeat = gone[~same]
-            yield from out.add(ids[doc[repeat]], thash[doc[repeat]], pos[repeat], count[repeat] + length - 1)
-            keep = np.sort(order[~again])
-            by = bucket_of(mix(h[keep]), parts)  # anchors are minima: their own high bits are uneven
+            rank = ranks(ids, thash)
+            order = np.lexsort((pos, rank[doc], h, fh))
+            h, fh, doc, pos, count = (x[order] for x in (h, fh, doc, pos, count))
+            first = np.ones(len(h), bool)
+            first[1:] = (fh[1:] != fh[:-1]) | (h[1:] != h[:-1])
+            at, start, size_ = maximal_repeats(np.cumsum(first) - 1, rank[doc], pos, count[first] + length - 1)
+            yield from out.add(ids[doc[at]], thash[doc[at]], pos[at] + start, size_)
+            h, fh, doc, pos, count = (x[first] for x in (h, fh, doc, pos, count))
+            by = bucket_of(mix(h), parts)  # anchors are minima: their own high bits are uneven
             sort = np.argsort(by, kind="stable")
             edges = np.searchsorted(by[sort], np.arange(parts + 1))
             for b in np.flatnonzero(np.diff(edges)):
-                own = keep[sort[edges[b] : edges[b + 1]]]
+                own = sort[edges[b] : edges[b + 1]]
                 used, local = np.unique(doc[own], return_inverse=True)
-                yield int(b), FRAGMENTS, freeze({"ids": ids[used], "thash": thash[used], "h": h[own].astype(np.uint32), "fh": fh[own], "doc": local.astype(np.uint32), "pos": pos[own].astype(np.uint32), "count": count[own].astype(np.uint8)})
+                yield int(b), FRAGMENTS, freeze({"ids": ids[used], "thash": thash[used], "h": h[own].astype(np.uint32), "fh": fh[own], "doc": local.astype(np.uint32), "pos": pos[own].astype(np.uint32), "count": count[own].astype(np.uint32)})
 
         for ids, _, thash, data, off in document_batches(it):
             for lo, base, part, o in segments(data, off, length):
@@ -219,39 +259,31 @@ def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, int]:
         yield from out.flush()
 
     def meet(it):
-        """By anchor: whole repeats, and requests for the bytes of differing fragments."""
-        out = Spans(parts)
+        """By anchor: its fragments with their copies, and requests for the bytes of differing ones."""
         for bucket, blobs in blobs_by_bucket(it):
             for kind, blob in blobs:
                 if kind == SPANS:
                     yield bucket, SPANS, blob
-            x = joined([b for kind, b in blobs if kind == FRAGMENTS], ["ids", "thash", "h", "fh", "doc", "pos", "count"], [np.int64, np.int64, np.uint32, U, np.int64, np.uint32, np.uint8])
-            h = x["h"]
-            _, back, times = np.unique(h, return_inverse=True, return_counts=True)
+            x = joined([b for kind, b in blobs if kind == FRAGMENTS], ["ids", "thash", "h", "fh", "doc", "pos", "count"], [np.int64, np.int64, np.uint32, U, np.int64, np.uint32, np.uint32])
+            ids, thash, rank = x["ids"], x["thash"], ranks(x["ids"], x["thash"])
+            _, back, times = np.unique(x["h"], return_inverse=True, return_counts=True)
             several = np.flatnonzero(times[back] > 1)
-            ids, thash = x["ids"], x["thash"]
-            order = np.lexsort((thash, ids))
-            new = np.ones(len(ids), bool)
-            new[1:] = (ids[order][1:] != ids[order][:-1]) | (thash[order][1:] != thash[order][:-1])
-            rank = np.empty(len(ids), np.int64)
-            rank[order] = np.cumsum(new)
             h, fh, doc, pos, count = (x[k][several] for k in ("h", "fh", "doc", "pos", "count"))
-            order = np.lexsort((pos, rank[doc], fh, h))
-            h, fh, doc, pos, count = (v[order] for v in (h, fh, doc, pos, count))
             if not len(h):
                 continue
+            order = np.lexsort((pos, rank[doc], fh, h))
+            h, fh, doc, pos, count = (v[order] for v in (h, fh, doc, pos, count))
             first = np.ones(len(h), bool)
             first[1:] = (h[1:] != h[:-1]) | (fh[1:] != fh[:-1])
-            lead = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
-            repeat = ~first & ((rank[doc] != rank[doc[lead]]) | (pos != pos[lead]))
-            yield from out.add(ids[doc[repeat]], thash[doc[repeat]], pos[repeat], count[repeat].astype(np.int64) + length - 1)
+            yield bucket, COPIES, freeze({"owner": (np.cumsum(first) - 1).astype(np.uint32), "id": ids[doc], "th": thash[doc], "pos": pos, "count": count[first]})
             h, doc, pos, count = (v[first] for v in (h, doc, pos, count))
             _, back, times = np.unique(h, return_inverse=True, return_counts=True)
-            ask = times[back] > 1
-            h, doc, pos, count = (v[ask] for v in (h, doc, pos, count))
-            by = doc_bucket(ids[doc], thash[doc], parts)
-            yield from ((b, FRAGMENTS, blob) for b, blob in pack({"ids": ids[doc], "thash": thash[doc], "h": h.astype(U) | U(bucket) << U(32), "pos": pos, "count": count}, by, parts))
-        yield from out.flush()
+            ask = np.flatnonzero(times[back] > 1)
+            if len(ask):
+                number = ask.astype(U) | U(bucket) << U(32)
+                doc, pos, count, apart = doc[ask], pos[ask], count[ask], times[back][ask] > hot
+                by = doc_bucket(ids[doc], thash[doc], parts)
+                yield from ((b, FRAGMENTS, blob) for b, blob in pack({"ids": ids[doc], "thash": thash[doc], "f": number, "h": h[ask], "pos": pos, "count": count, "apart": apart}, by, parts))
 
     def fetch(it):
         """By document: the bytes that are asked for."""
@@ -260,7 +292,10 @@ def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, int]:
             if len(known["ids"]):
                 ids, thash, start, size = united(known["ids"], known["thash"], known["start"], known["length"])
                 yield bucket, SPANS, freeze({"ids": ids, "thash": thash, "start": start, "length": size})
-            asked = joined([b for kind, b in blobs if kind == FRAGMENTS], ["ids", "thash", "h", "pos", "count"], [np.int64, np.int64, U, np.uint32, np.uint8])
+            for kind, blob in blobs:
+                if kind == COPIES:
+                    yield bucket, COPIES, blob
+            asked = joined([b for kind, b in blobs if kind == FRAGMENTS], ["ids", "thash", "f", "h", "pos", "count", "apart"], [np.int64, np.int64, U, np.uint32, np.uint32, np.uint32, bool])
             if not len(asked["ids"]):
                 continue
             order = np.lexsort((asked["thash"], asked["ids"]))
@@ -274,13 +309,26 @@ def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, int]:
             def rows():
                 own = np.concatenate([r for r, _ in held])
                 data = np.concatenate([d for _, d in held])
-                n = asked["count"][own].astype(np.int64) + length - 1
-                off = np.concatenate([[0], np.cumsum(n)])
-                by = (asked["h"][own] >> U(32)).astype(np.int64)
-                for b in np.unique(by):
-                    sel = np.flatnonzero(by == b)
+                count = asked["count"][own].astype(np.int64)
+                off = np.concatenate([[0], np.cumsum(count + length - 1)])
+                by = (asked["f"][own] >> U(32)).astype(np.int64)
+                whole = ~asked["apart"][own]
+                for b in np.unique(by[whole]):
+                    sel = np.flatnonzero(whole & (by == b))
                     r = own[sel]
-                    yield int(b), FRAGMENTS, freeze({"ids": asked["ids"][r], "thash": asked["thash"][r], "h": asked["h"][r].astype(np.uint32), "pos": asked["pos"][r], "count": asked["count"][r], "data": np.concatenate([data[off[i] : off[i + 1]] for i in sel])}, 3)
+                    yield int(b), FRAGMENTS, freeze({"f": asked["f"][r].astype(np.uint32), "h": asked["h"][r], "len": count[sel] + length - 1, "data": np.concatenate([data[off[i] : off[i + 1]] for i in sel])}, 3)
+                apart = np.flatnonzero(~whole)
+                if len(apart):
+                    # every string, from its start to the fragment's end, by its first bytes
+                    sel = np.repeat(apart, count[apart])
+                    start = np.arange(len(sel)) - np.repeat(np.cumsum(count[apart]) - count[apart], count[apart])
+                    lo, hi = off[sel] + start, off[sel + 1]
+                    key = Polynomial(data).ranges(lo, lo + length)
+                    left = np.where(start > 0, data[np.maximum(lo - 1, 0)].astype(np.int16), -1).astype(np.int16)
+                    r, to = own[sel], bucket_of(mix(key), parts)
+                    for b in np.unique(to):
+                        k = np.flatnonzero(to == b)
+                        yield int(b), STRINGS, freeze({"key": key[k], "left": left[k], "id": asked["ids"][r[k]], "th": asked["thash"][r[k]], "pos": asked["pos"][r[k]].astype(np.int64) + start[k], "len": hi[k] - lo[k], "data": np.concatenate([data[a:z] for a, z in zip(lo[k], hi[k])])}, 3)
 
             for kind, blob in blobs:
                 if kind != TEXTS:
@@ -304,41 +352,49 @@ def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, int]:
                 yield from rows()
 
     def compare(it):
-        """By anchor: suffix arrays of the differing fragments."""
+        """By anchor, and by string where an anchor has very many fragments: the interval trees."""
         out = Spans(parts)
         for bucket, blobs in blobs_by_bucket(it):
             for kind, blob in blobs:
                 if kind == SPANS:
                     yield bucket, SPANS, blob
-            x = joined([b for kind, b in blobs if kind == FRAGMENTS], ["ids", "thash", "h", "pos", "count", "data"], [np.int64, np.int64, np.uint32, np.uint32, np.uint8, np.uint8])
-            if not len(x["h"]):
-                continue
-            count = x["count"].astype(np.int64)
-            off = np.concatenate([[0], np.cumsum(count + length - 1)])
-            order = np.argsort(x["h"], kind="stable")
-            h = x["h"][order]
-            new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            edge = np.append(new, len(h))
-            load = np.concatenate([[0], np.cumsum(count[order])])
-            k = 0
-            while k < len(edge) - 1:  # groups of up to SUFFIXES suffixes together, or a larger one
-                j = max(k + 1, int(np.searchsorted(load[edge], load[edge[k]] + SUFFIXES, "right")) - 1)
-                f = order[edge[k] : edge[j]]
-                frag = np.repeat(f, count[f])
-                start = np.arange(len(frag)) - np.repeat(np.cumsum(count[f]) - count[f], count[f])
-                size = count[frag] + length - 1 - start
-                group = np.repeat(np.repeat(np.arange(j - k), np.diff(edge[k : j + 1])), count[f])
-                ids, thash, pos = x["ids"][frag], x["thash"][frag], x["pos"][frag].astype(np.int64) + start
-                row, size_of = [], []
-                for value, rows in maximal_repeats(group, frag, start, size, x["data"], off, length):
-                    first = rows[np.lexsort((pos[rows], thash[rows], ids[rows]))[0]] if len(rows) > 2 else min(rows, key=lambda r: (ids[r], thash[r], pos[r]))
-                    rest = rows[(ids[rows] != ids[first]) | (thash[rows] != thash[first]) | (pos[rows] != pos[first])]
-                    row.append(rest)
-                    size_of.append(np.full(len(rest), value))
-                if row:
-                    rest = np.concatenate(row)
-                    yield from out.add(ids[rest], thash[rest], pos[rest], np.concatenate(size_of))
-                k = j
+                elif kind == COPIES:
+                    x = thaw(blob)
+                    rank = ranks(x["id"], x["th"])
+                    owner, pos, sizes = x["owner"].astype(np.int64), x["pos"].astype(np.int64), x["count"].astype(np.int64) + length - 1
+                    names = ["f", "h", "len", "data"]
+                    y = joined([b for k, b in blobs if k == FRAGMENTS], names, [np.uint32, np.uint32, np.int64, np.uint8])
+                    off = np.concatenate([[0], np.cumsum(y["len"])])
+                    order = np.lexsort((y["f"], y["h"]))  # anchor by anchor
+                    first, number = np.searchsorted(owner, np.arange(len(sizes) + 1)), y["f"][order].astype(np.int64)
+                    last = np.append(np.flatnonzero(np.diff(y["h"][order].astype(np.int64))) + 1, len(order)) if len(order) else np.empty(0, np.int64)
+                    load = np.concatenate([[0], np.cumsum(y["len"][order] - length + 1)])
+                    # all leaves at once, then inner nodes of anchors with up to SUFFIXES suffixes together
+                    at, start, size = maximal_repeats(owner, rank, pos, sizes)
+                    yield from out.add(x["id"][at], x["th"][at], pos[at] + start, size)
+                    lo = 0
+                    while lo < len(order):
+                        hi = int(last[max(np.searchsorted(last, lo, "right"), np.searchsorted(load[last], load[lo] + SUFFIXES, "right") - 1)])
+                        own = order[lo:hi]
+                        n = y["len"][own] - length + 1
+                        frag = np.repeat(np.arange(hi - lo), n)
+                        begin = np.arange(len(frag)) - np.repeat(np.cumsum(n) - n, n)
+                        data = np.concatenate([y["data"][off[i] : off[i + 1]] for i in own])
+                        o = np.concatenate([[0], np.cumsum(y["len"][own])])
+                        place = o[frag] + begin
+                        left = np.where(begin > 0, data[np.maximum(place - 1, 0)].astype(np.int64), -1)
+                        key = Polynomial(data).ranges(place, place + length)
+                        f = number[lo:hi]
+                        lead = first[f]  # each fragment by its earliest copy
+                        at, start, size = maximal_repeats(np.arange(hi - lo), rank[lead], pos[lead], sizes[f], (frag, begin, key, y["len"][own][frag] - begin, left, data, o), length)
+                        yield from out.add(x["id"][lead[at]], x["th"][lead[at]], pos[lead[at]] + start, size)
+                        lo = hi
+            x = joined([b for kind, b in blobs if kind == STRINGS], ["key", "left", "id", "th", "pos", "len", "data"], [U, np.int16, np.int64, np.int64, np.int64, np.int64, np.uint8])
+            if len(x["key"]):
+                frag = np.arange(len(x["key"]))
+                off = np.concatenate([[0], np.cumsum(x["len"])])
+                at, start, size = maximal_repeats(frag, ranks(x["id"], x["th"]), x["pos"], x["len"], (frag, np.zeros(len(frag), np.int64), x["key"], x["len"], x["left"].astype(np.int64), x["data"], off), length)
+                yield from out.add(x["id"][at], x["th"][at], x["pos"][at] + start, size)
         yield from out.flush()
 
     def packed(f):
@@ -349,10 +405,10 @@ def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, int]:
     return exchanged(fetched, parts).mapInArrow(packed(compare), EXCHANGE), parts
 
 
-def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def removed(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """doc_id, text (what is left, as bytes), n_bytes, and the removed runs' starts and ends of every
     document."""
-    found, parts = spans(docs, length)
+    found, parts = spans(docs, length, hot)
 
     def run(it):
         for _, blobs in blobs_by_bucket(it):
@@ -380,7 +436,7 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return exchanged(found.unionByName(text_blobs(docs, parts, TEXTS)), parts).mapInArrow(run, "doc_id long, text binary, n_bytes long, starts array<long>, ends array<long>")
 
 
-def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def digests(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
 
     def run(it):
@@ -389,4 +445,4 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             n = [len(a) for a in batch.column("starts").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(gone, pa.int64()), pa.array(n, pa.int64()), pa.array([sha256(t.as_py()).hexdigest() for t in batch.column("text")])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return removed(docs, length).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return removed(docs, length, hot).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
