@@ -39,11 +39,13 @@ U = np.uint64
 
 def buckets(df: DataFrame) -> int:
     """How many buckets an exchange of df's texts has: one for each shuffle partition that the session
-    names, and one for each BUCKET bytes of the files that df reads, where the plan knows them."""
+    names, or one for each BUCKET bytes of the files that df reads if those are more. Other sources than
+    files report no size, and what a plan makes of that after a projection looks like one: they don't count."""
     spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    known = size if size < 1 << 60 else 0  # plans without files report the largest number
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-known // BUCKET))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    files = [leaf for leaf in (leaves.apply(k) for k in range(leaves.size())) if leaf.getClass().getSimpleName() in ("LogicalRelation", "DataSourceV2ScanRelation")]
+    size = sum(int(leaf.stats().sizeInBytes().toString()) for leaf in files)
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
 
 
 def shared_folder(spark: SparkSession) -> str:
