@@ -8,9 +8,11 @@ doesn't count. Each character of a script without spaces (UNSPACED) is a word. T
    a large share of the corpus keeps its seeds); where two of the commoner ones follow one another, both
    together, one word longer, are a seed too, so no part of an item is without seeds. Hits of a
    document on an item, close together, mark a passage; its words are aligned with the item's, a match
-   earning the word's IDF weight, a mismatch or gap costing GAP of the item's mean weight (so edits cost
-   the same part of an item that leaked widely). The score is the alignment's over the item's with
-   itself, 0 to 1. A passage whose words can't reach the threshold even in the best order is not aligned.
+   earning the word's IDF weight, or FLOOR of the item's mean weight if that is more (so a part that
+   leaked widely still counts beside one that didn't), a mismatch or gap costing GAP of that mean (so
+   edits cost the same part of an item that leaked widely). The score is the alignment's over the item's
+   with itself, 0 to 1. A passage whose words can't reach the threshold even in the best order is not
+   aligned.
 
 An item of fewer than SEED words is found, with score 1, where a line of the document has exactly its
 words: in running text such words say nothing.
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from siltbed.llm.common import U, Polynomial, document_batches, lowered, mix, runs, seeds, text_columns, views, words
 from siltbed.llm.licences import WORD
 
-SEED, THRESHOLD, GAP = 3, 0.4, 0.5
+SEED, THRESHOLD, GAP, FLOOR = 3, 0.4, 0.5, 0.5
 PART_BYTES = 16 << 20
 #: Code points, from and to before, of scripts that are written without spaces: Thai, Lao, Tibetan,
 #: Myanmar, Khmer, Tai, Chinese, kana, bopomofo, Yi.
@@ -199,9 +201,14 @@ class Benchmark:
                     best.setdefault((d, item), (1.0, at - int(first[d]), at - int(first[d]) + n - 1))
         return [(d, k, *v) for (d, k), v in best.items()]
 
+    def weights(self, item: np.ndarray) -> np.ndarray:
+        """What a match of each of an item's words earns."""
+        own = self.idf[item]
+        return np.maximum(own, FLOOR * own.mean())
+
     def align(self, item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
         """The best local alignment's score, and where it ends in the passage."""
-        weight = self.idf[item]
+        weight = self.weights(item)
         gap = GAP * float(weight.mean())
         row, best, end = np.zeros(len(passage) + 1), 0.0, 0
         slope = gap * np.arange(len(passage) + 1)
@@ -237,8 +244,9 @@ class Benchmark:
             own = self.items[k]
             pad = len(own) // 3 + 4
             lo, hi = max(int(first[d]), int(begin[a]) - pad), min(int(first[d + 1]), int(begin[b - 1]) + len(own) + pad)
-            passage, whole = number[lo:hi], self.idf[own].sum()
-            if self.idf[own][np.isin(own, passage)].sum() < threshold * whole:
+            passage, weight = number[lo:hi], self.weights(own)
+            whole = weight.sum()
+            if weight[np.isin(own, passage)].sum() < threshold * whole:
                 continue
             score, end = self.align(own, passage)
             if score >= threshold * whole and score / whole > best.get((d, k), (0.0,))[0]:
