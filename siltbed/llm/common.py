@@ -44,7 +44,7 @@ def buckets(df: DataFrame) -> int:
     spark = df.sparkSession
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     files = [leaf for leaf in (leaves.apply(k) for k in range(leaves.size())) if leaf.getClass().getSimpleName() in ("LogicalRelation", "DataSourceV2ScanRelation")]
-    size = sum(int(leaf.stats().sizeInBytes().toString()) for leaf in files)
+    size = sum(int(str(leaf.stats().sizeInBytes())) for leaf in files)
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
 
 

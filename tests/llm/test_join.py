@@ -98,3 +98,15 @@ def test_columns_with_clashing_names(spark):
     assert got.columns == docs.columns
     first = {g for _, g in expected(texts, 4, 85).values()}
     assert sorted((r.doc_id, r._keep, r.fp) for r in got.collect()) == sorted((i, i, "f") for i in first)
+
+
+def test_buckets_follow_the_files(spark, tmp_path, monkeypatch):
+    """Files count, tables without a known size don't, however wide the rows that a projection leaves out."""
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wide = spark.createDataFrame([(1, "a", *[None] * 20)], "doc_id long, text string, " + ", ".join(f"c{k} string" for k in range(20)))
+    assert common.buckets(wide.select("doc_id", "text").where("doc_id is not null")) == own
+    spark.range(100_000).selectExpr("id as doc_id", "sha2(string(id), 256) as text").write.parquet(f"{tmp_path}/t")
+    files = spark.read.parquet(f"{tmp_path}/t")
+    assert common.buckets(files) == own
+    monkeypatch.setattr(common, "BUCKET", 1 << 18)
+    assert own < common.buckets(files.where("doc_id > 5").select("doc_id")) == common.buckets(files) < 200

@@ -129,3 +129,19 @@ def test_work_folder_is_shared_or_refused(spark, monkeypatch):
     with pytest.raises(RuntimeError):
         common.shared_folder(Far)
     assert common.shared_folder(spark)
+
+
+@pytest.mark.parametrize("named", [None, "hdfs://far/work"])
+def test_work_folder_of_a_far_session(named):
+    """The same of a session that has the setting, or hasn't, whatever this machine's defaults name."""
+    from siltbed.llm import common
+
+    class Far:
+        conf = {"spark.checkpoint.dir": named}
+        sparkContext = type("C", (), {"master": "spark://far:7077"})
+
+    if named:
+        assert common.shared_folder(Far) == named
+    else:
+        with pytest.raises(RuntimeError):
+            common.shared_folder(Far)
