@@ -20,15 +20,18 @@ What is left are rows (signature, set): groups of any size, never listed in one
 
 Union first, then only what is not tied yet:
 
-1. Rounds. Of each group two sets, drawn by hash, are pivots. A set meets the pivot that it shares most
+1. Rounds. Of each group two sets are pivots, drawn by hash; in the first round one is the set with the
+   smallest part of rare shingles. A set meets the pivot that it shares most
    signatures with, if those are as many as partners must share: at most two pairs a set and round.
    Pairs are verified on the whole sets, links give components. In a cluster of near copies, however
    large, most sets are then tied, and a group whose sets are all in one component is done. Rounds go on
    while they at least halve the pairs that are left and those are many more than the rows.
 2. The rest: sets of one group but different components, with sizes that can link. In groups of more
    than LARGE sets only those sets are paired that have as many large groups as partners must share
-   signatures; two others that link have a smaller group in common. Pairs that share too few
-   signatures, or were verified before, go; the others are verified.
+   signatures; two others that link have a smaller group in common. Every set has a
+   sketch, the parities of its shingles' numbers in BITS classes: sets differ in at least as many shingles
+   as their sketches in bits, so pairs whose sketches differ too much for a link go within the join. Those
+   that share too few signatures, or were verified before, go too; the others are verified.
 
 So no pair of sets that could link is left out unless both are in one component already. Every pair is
 a row of a join; work() counts them. With counts=True no round is made and every candidate is
@@ -60,6 +63,9 @@ HEAD = 64
 LARGE = 64
 #: Pairs left for a row of signatures that need no further round.
 FAIR = 4
+#: Bits of a set's sketch, and the columns that hold them.
+BITS = 512
+WORDS = [f"w{k}" for k in range(BITS // 64)]
 #: Pairs of one set that are verified together.
 SPLIT = 256
 #: Bytes of shingles or signatures that a task gathers, and counts or thins out together.
@@ -141,30 +147,33 @@ class Signer:
         return max(1, int(0.04 * (100 / self.percent) ** level))  # small sets have no shingles to spare for more
 
     def sign(self, h, edges, doc_of_set):
-        """(signature, document, shared): signatures of the sets doc_of_set, and how many of a
-        document's signatures a partner must share at least."""
+        """(signature, document, shared, rare): signatures of the sets doc_of_set, how many of a
+        document's signatures a partner must share at least, and how many rare shingles it has."""
         sizes = np.diff(edges)[doc_of_set]
         at = np.minimum(np.searchsorted(self.often, h), max(0, len(self.often) - 1))
         common = self.often[at] == h if len(self.often) else np.zeros(len(h), bool)
-        sig, doc, need = [], [], []
+        sig, doc, need, rares = [], [], [], []
         for d, s in zip(doc_of_set.tolist(), sizes.tolist()):
             m = self.missing(s)  # of 0, a partner holds the whole set and more
             own, often = h[edges[d] : edges[d + 1]], common[edges[d] : edges[d + 1]]
             rare = own if not often.any() else own[~often]
-            if len(rare) > m:
+            count = len(rare)
+            if count > m:
                 rare = rare[: m + EXTEND]
                 sig.append(rare)
                 doc.append(np.full(len(rare), d))
                 need.append(np.full(len(rare), len(rare) - m))
+                rares.append(np.full(len(rare), count))
                 continue
             found = [rare, *(self.pairs(own[often], m + 1 - len(rare), level) for level in (self.level(s), self.level(s) + 1))]
             found = np.unique(np.concatenate(found))
             sig.append(found)
             doc.append(np.full(len(found), d))
             need.append(np.ones(len(found), np.int64))
+            rares.append(np.full(len(found), count))
         if not sig:
-            return np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate(sig), np.concatenate(doc), np.concatenate(need)
+            return np.empty(0, U), *(np.empty(0, np.int64) for _ in range(3))
+        return np.concatenate(sig), np.concatenate(doc), np.concatenate(need), np.concatenate(rares)
 
     def pairs(self, often: np.ndarray, need: int, level: int) -> np.ndarray:
         g = self.classes(level)
@@ -189,7 +198,7 @@ class Signer:
 
 
 def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(fp, sig, size, need): the signatures that several sets have, of the sets that share as many as a
+    """(fp, sig, size, need, rare): the signatures that several sets have, of the sets that share as many as a
     partner must have in common with them."""
     parts = buckets(docs)
     signer = Signer(frequent(docs, n, max(32, docs.count() // 5000), parts), percent)
@@ -200,21 +209,21 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
         held, size = [], 0
 
         def rows():
-            sig, fp, count, need = (np.concatenate([x[k] for x in held]) for k in range(4))
+            sig, fp, count, need, rare = (np.concatenate([x[k] for x in held]) for k in range(5))
             # each set once: copies in this task have the same signatures
             order = np.lexsort((fp, sig))
-            sig, fp, count, need = sig[order], fp[order], count[order], need[order]
+            sig, fp, count, need, rare = sig[order], fp[order], count[order], need[order], rare[order]
             new, first = np.ones(len(sig), bool), np.ones(len(sig), bool)
             new[1:] = sig[1:] != sig[:-1]
             first[1:] = new[1:] | (fp[1:] != fp[:-1])
-            sig, fp, count, need, new = sig[first], fp[first], count[first], need[first], new[first]
+            sig, fp, count, need, rare, new = sig[first], fp[first], count[first], need[first], rare[first], new[first]
             # of a group's sets in this task HEAD go to the signature's bucket, which so never holds a
             # large group; the others, surely shared, to buckets of their own
             at = np.arange(len(sig))
             more = at - np.maximum.accumulate(np.where(new, at, 0)) >= HEAD
             for kind, rest in ((0, ~more), (1, more)):
                 by = bucket_of(mix(sig[rest] if kind == 0 else fp[rest]), parts)
-                for b, blob in pack({"sig": sig[rest], "fp": fp[rest], "n": count[rest], "need": need[rest]}, by, parts):
+                for b, blob in pack({"sig": sig[rest], "fp": fp[rest], "n": count[rest], "need": need[rest], "rare": rare[rest]}, by, parts):
                     yield b, kind, blob
 
         known = set()
@@ -225,10 +234,10 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
             if not len(fresh):
                 continue
             fresh = fresh[np.diff(edges)[fresh] > 0]
-            sig, doc, need = own.sign(h, edges, fresh)
+            sig, doc, need, rare = own.sign(h, edges, fresh)
             if len(sig):
-                held.append((sig, fp[doc], np.diff(edges)[doc].astype(np.uint32), need.astype(np.uint16)))
-                size += len(sig) * 22
+                held.append((sig, fp[doc], np.diff(edges)[doc].astype(np.uint32), need.astype(np.uint16), rare.astype(np.uint32)))
+                size += len(sig) * 26
             if size > GATHER:
                 yield from batches(rows())
                 held, size = [], 0
@@ -239,32 +248,45 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
         """The rows of signatures that several sets have, with the least need of their sets."""
         for _, blobs in blobs_by_bucket(it):
             for kind in (0, 1):
-                x = joined([b for k, b in blobs if k == kind], ["sig", "fp", "n", "need"], [U, U, np.uint32, np.uint16])
+                x = joined([b for k, b in blobs if k == kind], ["sig", "fp", "n", "need", "rare"], [U, U, np.uint32, np.uint16, np.uint32])
                 if not len(x["sig"]):
                     continue
-                sig, fp, size, need = x["sig"], x["fp"], x["n"], x["need"].astype(np.int32)
+                sig, fp, size, need, rare = x["sig"], x["fp"], x["n"], x["need"].astype(np.int32), x["rare"].astype(np.int32)
                 least = np.ones(len(sig), np.int32)
                 if kind == 0:
                     order = np.lexsort((fp, sig))
-                    sig, fp, size, need = sig[order], fp[order], size[order], need[order]
+                    sig, fp, size, need, rare = sig[order], fp[order], size[order], need[order], rare[order]
                     begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
                     several = np.minimum.reduceat(fp, begin) != np.maximum.reduceat(fp, begin)
                     width = np.diff(np.append(begin, len(sig)))
                     least, keep = np.repeat(np.minimum.reduceat(need, begin), width), np.repeat(several, width)
-                    sig, fp, size, need, least = sig[keep], fp[keep], size[keep], need[keep], least[keep]
+                    sig, fp, size, need, rare, least = sig[keep], fp[keep], size[keep], need[keep], rare[keep], least[keep]
                 for lo in range(0, len(sig), 100_000):
                     cut = slice(lo, lo + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(sig[cut].view(np.int64)), pa.array(fp[cut].view(np.int64)), pa.array(size[cut].astype(np.int32)), pa.array(need[cut]), pa.array(least[cut])], ["sig", "fp", "size", "need", "least"])
+                    yield pa.RecordBatch.from_arrays([pa.array(sig[cut].view(np.int64)), pa.array(fp[cut].view(np.int64)), pa.array(size[cut].astype(np.int32)), pa.array(need[cut]), pa.array(rare[cut]), pa.array(least[cut])], ["sig", "fp", "size", "need", "rare", "least"])
 
-    rows = exchanged(text_columns(docs).mapInArrow(index, EXCHANGE), parts).mapInArrow(thin, "sig long, fp long, size int, need int, least int")
+    rows = exchanged(text_columns(docs).mapInArrow(index, EXCHANGE), parts).mapInArrow(thin, "sig long, fp long, size int, need int, rare int, least int")
     rows = rows.repartition(parts, "fp").dropDuplicates(["fp", "sig"])
     # partners share as many signatures as the smaller of their needs
     able = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("k"), F.min("need").alias("own"), F.min("least").alias("least")).where(F.col("k") >= F.least("own", "least")).select("fp")
-    return checkpointed(rows.join(able, "fp", "left_semi").select("fp", "sig", "size", "need"))
+    return checkpointed(rows.join(able, "fp", "left_semi").select("fp", "sig", "size", "need", "rare"))
+
+
+def sketches(h: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """By set, BITS bits as 64-bit words: of how many of its shingles each is the number, even or odd.
+    Two sets differ in at least as many shingles as their sketches in bits."""
+    out = []
+    for lo in range(0, len(edges) - 1, 1024):
+        e = edges[lo : lo + 1025]
+        owner = np.repeat(np.arange(len(e) - 1), np.diff(e))
+        bit = (h[e[0] : e[-1]] >> U(20) & U(BITS - 1)).astype(np.int64)
+        odd = np.bincount(owner * BITS + bit, minlength=(len(e) - 1) * BITS).reshape(-1, BITS) & 1
+        out.append(np.packbits(odd.astype(np.uint8), axis=1).view(np.int64))
+    return np.concatenate(out) if out else np.empty((0, len(WORDS)), np.int64)
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(fp, text): one compressed text of each wanted set, dealt by fp."""
+    """(fp, text, WORDS): one compressed text of each wanted set, with its sketch, dealt by fp."""
     parts = buckets(docs)
 
     def ask(it):
@@ -283,14 +305,15 @@ def texts_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             by = bucket_of(fp, parts)
             for b in np.unique(by):
                 own = np.flatnonzero(by == b)
-                yield int(b), 1, freeze({"fp": fp[own], "len": np.array([len(held[i][1]) for i in own], np.int64), "data": np.frombuffer(b"".join(held[i][1] for i in own), np.uint8)}, 3)
+                yield int(b), 1, freeze({"fp": fp[own], "len": np.array([len(held[i][1]) for i in own], np.int64), "data": np.frombuffer(b"".join(held[i][1] for i in own), np.uint8), "bits": np.concatenate([held[i][2] for i in own])}, 3)
 
-        for _, _, _, _, edges, fp, data, off in chunks_of_sets(it, n):
+        for _, _, _, h, edges, fp, data, off in chunks_of_sets(it, n):
+            bits = sketches(h, edges)
             for i in np.flatnonzero(np.diff(edges)):
                 if (name := int(fp[i])) not in known:
                     known.add(name)
-                    held.append((name, data[off[i] : off[i + 1]].tobytes()))
-                    size += off[i + 1] - off[i]
+                    held.append((name, data[off[i] : off[i + 1]].tobytes(), bits[i].copy()))
+                    size += off[i + 1] - off[i] + BITS // 8
             if size > FLUSH:
                 yield from batches(rows())
                 held, size, known = [], 0, set()
@@ -308,10 +331,11 @@ def texts_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 own = [i for i, name in enumerate(x["fp"].tolist()) if name in asked and not asked.discard(name)]
                 if own:
                     pressed = [zstandard.compress(x["data"][off[i] : off[i + 1]].tobytes(), 1) for i in own]
-                    yield pa.RecordBatch.from_arrays([pa.array(x["fp"][own].view(np.int64)), pa.array(pressed, pa.binary())], ["fp", "text"])
+                    bits = x["bits"].reshape(-1, len(WORDS))[own]
+                    yield pa.RecordBatch.from_arrays([pa.array(x["fp"][own].view(np.int64)), pa.array(pressed, pa.binary()), *(pa.array(np.ascontiguousarray(c)) for c in bits.T)], ["fp", "text", *WORDS])
 
     met = wanted.mapInArrow(ask, EXCHANGE).unionByName(text_columns(docs).mapInArrow(send, EXCHANGE))
-    found = exchanged(met, parts).mapInArrow(pick, "fp long, text binary")
+    found = exchanged(met, parts).mapInArrow(pick, "fp long, text binary, " + ", ".join(f"{w} long" for w in WORDS))
     # the checkpoint keeps partitions and order, so joins on fp move the pairs, not the texts
     return checkpointed(found.repartition(parts, "fp").sortWithinPartitions("fp"))
 
@@ -378,26 +402,37 @@ def fits(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def met_pivots(rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b): every set with at most one pivot of each of the two kinds, not of its own component."""
+def met_pivots(rows: DataFrame, groups: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """(a, b): every set with at most one pivot of each of the two kinds, not of its own component, if
+    their sketches let them link."""
     joined_ = rows.join(groups.where("low < high").select("sig", "pivots"), "sig").select("fp", "size", "need", "c", F.explode("pivots").alias("p"))
     near = joined_.where(F.col("p").isNotNull() & (F.col("p.c") != F.col("c")) & fits("size", "p.size", percent))
-    counted = near.groupBy("fp", F.col("p.fp").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first(F.least("need", "p.need")).alias("need"), F.first("p.kind").alias("kind")).where("k >= need")
-    best = counted.groupBy("fp", "kind").agg(F.max(F.struct("k", "b")).alias("best"))
-    return best.select(F.col("fp").alias("a"), F.col("best.b").alias("b"))
+    counted = near.groupBy("fp", F.col("p.fp").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first(F.least("need", "p.need")).alias("need"), F.first("p.kind").alias("kind"), F.first("size").alias("size_x"), F.first("p.size").alias("size_y")).where("k >= need")
+    best = counted.groupBy("fp", "kind").agg(F.max(F.struct("k", "b", "size_x", "size_y")).alias("best")).select(F.col("fp").alias("a"), "best.b", "best.size_x", "best.size_y")
+    for name, side in (("a", "x"), ("b", "y")):
+        best = best.join(sketch.select(F.col("fp").alias(name), *[F.col(w).alias(f"{w}_{side}") for w in WORDS]), name)
+    return best.where(alike(percent)).select("a", "b").distinct()
+
+
+def alike(percent: int):
+    """Whether sets x and y can link by their sketches: linked, they differ in at most (100 - percent) /
+    (100 + percent) of both sizes together."""
+    apart = sum((F.bit_count(F.col(f"{w}_x").bitwiseXOR(F.col(f"{w}_y"))) for w in WORDS), F.lit(0))
+    return apart * (100 + percent) <= (F.col("size_x") + F.col("size_y")) * (100 - percent)
 
 
-def untied(rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: pairs of sets of one group and different components that share enough signatures."""
+def untied(rows: DataFrame, groups: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: pairs of sets of one group and different components that share enough signatures
+    and whose sketches let them link."""
     rows = rows.join(groups.where("low < high").select("sig", (F.col("n") > LARGE).alias("large")), "sig")
     load = rows.groupBy("fp").agg(F.sum(F.col("large").cast("int")).alias("b"))
-    rows = checkpointed(rows.join(load, "fp").withColumn("spare", F.col("b") < F.col("need")))
-    x, y = (rows.select("sig", "large", *[F.col(c).alias(f"{c}_{side}") for c in ("fp", "size", "need", "c", "b", "spare")]) for side in "xy")
+    rows = checkpointed(rows.join(load.join(sketch, "fp"), "fp").withColumn("spare", F.col("b") < F.col("need")))
+    x, y = (rows.select("sig", "large", *[F.col(c).alias(f"{c}_{side}") for c in ("fp", "size", "need", "c", "b", "spare", *WORDS)]) for side in "xy")
 
     def paired(large: bool, condition) -> DataFrame:
         left = x.where("large and not spare_x") if large else x.where("not large")
         other = y.where("large" if large else "not large").drop("large")
-        both = left.drop("large").join(other, "sig").where("c_x <> c_y").where(fits("size_x", "size_y", percent)).where(condition)
+        both = left.drop("large").join(other, "sig").where("c_x <> c_y").where(fits("size_x", "size_y", percent)).where(condition).where(alike(percent))
         least = F.least("need_x", "need_y") - F.when(F.col("spare_x") & F.col("spare_y"), F.least("b_x", "b_y")).otherwise(0)
         return both.select(F.least("fp_x", "fp_y").alias("a"), F.greatest("fp_x", "fp_y").alias("b"), least.alias("least"))
 
@@ -415,25 +450,30 @@ def links(docs: DataFrame, n: int, percent: int, counts: bool = False) -> tuple[
     if not done["rows"]:
         return nothing, done
     texts = texts_of(docs, rows.select("fp").distinct(), n)
+    sketch = checkpointed(texts.select("fp", *WORDS))
     tried = None  # all verified pairs
     labelled, before = rows.withColumn("c", F.col("fp")), None
     while True:
         draw = F.xxhash64("fp", F.lit(len(done["rounds"])))
-        pivot = [F.min(F.when(F.pmod(draw, F.lit(2)) == k, F.struct(draw.alias("draw"), "fp", "size", "need", "c", F.lit(k).alias("kind")))) for k in (0, 1)]
+        # of the first round's two pivots one is the set with the smallest part of rare shingles: in a cluster
+        # of edited copies it's nearest to the others
+        order = [F.struct((F.col("rare") / F.col("size") if k == 0 and not done["rounds"] else F.lit(0.0)).alias("part"), draw.alias("draw")) for k in (0, 1)]
+        drawn = [F.lit(True) if not done["rounds"] and k == 0 else F.pmod(draw, F.lit(2)) == k for k in (0, 1)]
+        pivot = [F.min(F.when(drawn[k], F.struct(order[k].alias("draw"), "fp", "size", "need", "c", F.lit(k).alias("kind")))) for k in (0, 1)]
         by_component = labelled.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("n"), *[p.alias(f"p{k}") for k, p in enumerate(pivot)])
         groups = checkpointed(by_component.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("tied"), F.array(F.min("p0"), F.min("p1")).alias("pivots")))
         left = groups.where("low < high").agg(F.sum((F.col("n") * F.col("n") - F.col("tied")) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
         if counts or not left["rows"] or (before is not None and (left["pairs"] <= FAIR * left["rows"] or left["pairs"] > before / 2)):
             break
         before = left["pairs"]
-        found = checkpointed(verified(met_pivots(labelled, groups, percent), texts, n, percent))
+        found = checkpointed(verified(met_pivots(labelled, groups, sketch, percent), texts, n, percent))
         done["rounds"].append(found.count())
         if not done["rounds"][-1]:
             break
         tried = found if tried is None else tried.unionByName(found)
         tied = components(tried.where("link").select(F.col("a").alias("u"), F.col("b").alias("v")))
-        labelled = checkpointed(rows.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "sig", "size", "need", F.coalesce("component", "fp").alias("c")))
-    rest = untied(labelled, groups, percent)
+        labelled = checkpointed(rows.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "sig", "size", "need", "rare", F.coalesce("component", "fp").alias("c")))
+    rest = untied(labelled, groups, sketch, percent)
     if tried is not None:
         rest = rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     rest = checkpointed(rest)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import plain
@@ -110,3 +111,26 @@ def test_buckets_follow_the_files(spark, tmp_path, monkeypatch):
     assert common.buckets(files) == own
     monkeypatch.setattr(common, "BUCKET", 1 << 18)
     assert own < common.buckets(files.where("doc_id > 5").select("doc_id")) == common.buckets(files) < 200
+
+
+@pytest.mark.parametrize("edits, most", [(2, 2), (4, 5)])
+def test_few_pairs_are_verified_in_a_cluster_of_sets_that_all_differ(spark, edits, most):
+    """As test_work_is_linear_in_a_cluster, of texts that all differ; without tails a sixth of them are
+    equal. With up to 2 edits the cluster is one component; with 4 most sets link with none, and the
+    pairs that the sketches leave grow faster than the sets (482, 1850, 7264, 30150 of 500 to 4000)."""
+    for n in (500, 1000, 2000):
+        texts = [f"{t} tail{i}" for i, t in enumerate(near_copies(n, 120, edits))]
+        done = jaccard.work(table(spark, texts), 4, 85)
+        assert sum(done["rounds"]) + done["rest"] <= most * n, (n, done)
+
+
+def test_sketches_never_rule_out_a_link():
+    r = np.random.default_rng(4)
+    pool = r.integers(0, 1 << 62, 3000).astype(np.uint64)
+    sets = [np.sort(r.choice(pool, k, replace=False)) for k in r.integers(0, 900, 1500)]
+    edges = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    bits = jaccard.sketches(np.concatenate(sets), edges)
+    assert bits.shape == (1500, len(jaccard.WORDS))
+    for a, b in r.integers(0, 1500, (500, 2)):
+        apart = sum(int(x).bit_count() for x in (bits[a] ^ bits[b]).view(np.uint64))
+        assert apart <= len(np.setxor1d(sets[a], sets[b])) and (a != b or apart == 0)
