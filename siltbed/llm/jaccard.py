@@ -409,9 +409,7 @@ def met_pivots(rows: DataFrame, groups: DataFrame, sketch: DataFrame, percent: i
     near = joined_.where(F.col("p").isNotNull() & (F.col("p.c") != F.col("c")) & fits("size", "p.size", percent))
     counted = near.groupBy("fp", F.col("p.fp").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first(F.least("need", "p.need")).alias("need"), F.first("p.kind").alias("kind"), F.first("size").alias("size_x"), F.first("p.size").alias("size_y")).where("k >= need")
     best = counted.groupBy("fp", "kind").agg(F.max(F.struct("k", "b", "size_x", "size_y")).alias("best")).select(F.col("fp").alias("a"), "best.b", "best.size_x", "best.size_y")
-    for name, side in (("a", "x"), ("b", "y")):
-        best = best.join(sketch.select(F.col("fp").alias(name), *[F.col(w).alias(f"{w}_{side}") for w in WORDS]), name)
-    return best.where(alike(percent)).select("a", "b").distinct()
+    return sketched(best, sketch, percent).distinct()
 
 
 def alike(percent: int):
@@ -421,23 +419,34 @@ def alike(percent: int):
     return apart * (100 + percent) <= (F.col("size_x") + F.col("size_y")) * (100 - percent)
 
 
+def sketched(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of sets of size_x and size_y whose sketches let them link."""
+    for name, side in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(sketch.select(F.col("fp").alias(name), *[F.col(w).alias(f"{w}_{side}") for w in WORDS]), name)
+    return pairs.where(alike(percent)).select("a", "b")
+
+
 def untied(rows: DataFrame, groups: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
     """(a, b), a < b: pairs of sets of one group and different components that share enough signatures
     and whose sketches let them link."""
-    rows = rows.join(groups.where("low < high").select("sig", (F.col("n") > LARGE).alias("large")), "sig")
+    rows = rows.join(groups.where("low < high").select("sig", (F.col("n") > LARGE).alias("large")), "sig").select("fp", "sig", "size", "need", "c", "large")
     load = rows.groupBy("fp").agg(F.sum(F.col("large").cast("int")).alias("b"))
-    rows = checkpointed(rows.join(load.join(sketch, "fp"), "fp").withColumn("spare", F.col("b") < F.col("need")))
-    x, y = (rows.select("sig", "large", *[F.col(c).alias(f"{c}_{side}") for c in ("fp", "size", "need", "c", "b", "spare", *WORDS)]) for side in "xy")
+    rows = checkpointed(rows.join(load, "fp").withColumn("spare", F.col("b") < F.col("need")))
 
-    def paired(large: bool, condition) -> DataFrame:
-        left = x.where("large and not spare_x") if large else x.where("not large")
-        other = y.where("large" if large else "not large").drop("large")
-        both = left.drop("large").join(other, "sig").where("c_x <> c_y").where(fits("size_x", "size_y", percent)).where(condition).where(alike(percent))
+    def paired(left: DataFrame, other: DataFrame, condition, more: list[str]) -> DataFrame:
+        x, y = (side.select("sig", *[F.col(c).alias(f"{c}_{name}") for c in ("fp", "size", "need", "c", "b", "spare", *more)]) for name, side in (("x", left), ("y", other)))
+        both = x.join(y, "sig").where("c_x <> c_y").where(fits("size_x", "size_y", percent)).where(condition)
         least = F.least("need_x", "need_y") - F.when(F.col("spare_x") & F.col("spare_y"), F.least("b_x", "b_y")).otherwise(0)
-        return both.select(F.least("fp_x", "fp_y").alias("a"), F.greatest("fp_x", "fp_y").alias("b"), least.alias("least"))
-
-    every = paired(False, "fp_x < fp_y").unionByName(paired(True, "spare_y or fp_x < fp_y"))
-    return every.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.first("least").alias("least")).where("k >= least").select("a", "b")
+        lower = F.col("fp_x") < F.col("fp_y")
+        sizes = [F.when(lower, F.col(p)).otherwise(F.col(q)).alias(p) for p, q in (("size_x", "size_y"), ("size_y", "size_x"))]
+        return both.select(F.least("fp_x", "fp_y").alias("a"), F.greatest("fp_x", "fp_y").alias("b"), least.alias("least"), *sizes)
+
+    # rows of large groups carry sketches, of the others only the pairs that have enough groups
+    large = rows.where("large").join(sketch, "fp")
+    small = rows.where("not large")
+    every = paired(small, small, F.expr("fp_x < fp_y"), []).unionByName(paired(large.where("not spare"), large, F.expr("spare_y or fp_x < fp_y") & alike(percent), WORDS))
+    enough = every.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), *[F.first(c).alias(c) for c in ("least", "size_x", "size_y")]).where("k >= least").drop("k", "least")
+    return sketched(enough, sketch, percent)
 
 
 def links(docs: DataFrame, n: int, percent: int, counts: bool = False) -> tuple[DataFrame, dict]:
