@@ -68,6 +68,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Checkpointed such that its partitioning and order stay known, so that joins and aggregates on its
+    keys needn't move it. An adaptive plan doesn't tell these, so this one is made without."""
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return checkpointed(df.select("*"))  # planned anew
+    finally:
+        conf.set(name, before)
+
+
 def quoted(name: str) -> str:
     """A column's name as an identifier, whatever characters it holds."""
     return "`" + name.replace("`", "``") + "`"

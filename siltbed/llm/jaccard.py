@@ -51,10 +51,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import CHUNK, EXCHANGE, FLUSH, U, batches, blobs_by_bucket, bucket_of, buckets, checkpointed, components, distinct, document_batches, exchanged, freeze, joined, mix, nullable_ids, pack, runs, shingles, text_columns, text_hash, thaw
+from siltbed.llm.common import CHUNK, EXCHANGE, FLUSH, U, batches, blobs_by_bucket, bucket_of, buckets, checkpointed, components, distinct, document_batches, exchanged, freeze, joined, mix, nullable_ids, pack, runs, settled, shingles, text_columns, text_hash, thaw
 
 EXTEND = 16
 #: Sets of a signature that a task sends to the signature's own bucket.
@@ -68,6 +68,8 @@ BITS = 512
 WORDS = [f"w{k}" for k in range(BITS // 64)]
 #: Pairs of one set that are verified together.
 SPLIT = 256
+#: Bits of the map of wanted sets for each of them, and at most; what it can't tell is sent in vain.
+ROOM, MAP = 16, 1 << 25
 #: Bytes of shingles or signatures that a task gathers, and counts or thins out together.
 GATHER = 48 << 20
 
@@ -267,9 +269,11 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     rows = exchanged(text_columns(docs).mapInArrow(index, EXCHANGE), parts).mapInArrow(thin, "sig long, fp long, size int, need int, rare int, least int")
     rows = rows.repartition(parts, "fp").dropDuplicates(["fp", "sig"])
-    # partners share as many signatures as the smaller of their needs
-    able = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("k"), F.min("need").alias("own"), F.min("least").alias("least")).where(F.col("k") >= F.least("own", "least")).select("fp")
-    return checkpointed(rows.join(able, "fp", "left_semi").select("fp", "sig", "size", "need", "rare"))
+    # partners share as many signatures as the smaller of their needs; a set's own are no more than its shingles or pairs of them
+    own = Window.partitionBy("fp")
+    able = rows.select("*", F.count(F.lit(1)).over(own).alias("k"), F.least(F.min("need").over(own), F.min("least").over(own)).alias("enough")).where("k >= enough")
+    # dealt and sorted by set for good: labels join it where it is
+    return settled(able.select("fp", "sig", "size", "need", "rare"))
 
 
 def sketches(h: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -285,9 +289,27 @@ def sketches(h: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.empty((0, len(WORDS)), np.int64)
 
 
+def map_of(wanted: DataFrame) -> np.ndarray:
+    """A bit map in which every wanted set's bit is set, in 64-bit words: ROOM bits a set, MAP bits at most
+    whatever their number. Other sets have their bit set by chance only: one in ROOM, or more of them where
+    MAP is too small, up to all."""
+    bits = min(MAP, 1 << max(10, (ROOM * wanted.count()).bit_length()))
+    word = F.shiftright(F.col("fp").bitwiseAND(F.lit(bits - 1)), 6).cast("int").alias("word")
+    found = wanted.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, int(fp & 63))")).alias("mask")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[found["word"].to_numpy()] = found["mask"].to_numpy()
+    return out.view(U)
+
+
+def mapped(field: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """Whether the sets' bits are set."""
+    return field[(fp & U(len(field) * 64 - 1)) >> U(6)] >> (fp & U(63)) & U(1) == 1
+
+
 def texts_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(fp, text, WORDS): one compressed text of each wanted set, with its sketch, dealt by fp."""
     parts = buckets(docs)
+    field = docs.sparkSession.sparkContext.broadcast(map_of(wanted))  # MAP bits at most
 
     def ask(it):
         def rows():
@@ -308,12 +330,14 @@ def texts_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 yield int(b), 1, freeze({"fp": fp[own], "len": np.array([len(held[i][1]) for i in own], np.int64), "data": np.frombuffer(b"".join(held[i][1] for i in own), np.uint8), "bits": np.concatenate([held[i][2] for i in own])}, 3)
 
         for _, _, _, h, edges, fp, data, off in chunks_of_sets(it, n):
-            bits = sketches(h, edges)
-            for i in np.flatnonzero(np.diff(edges)):
-                if (name := int(fp[i])) not in known:
-                    known.add(name)
-                    held.append((name, data[off[i] : off[i + 1]].tobytes(), bits[i].copy()))
-                    size += off[i + 1] - off[i] + BITS // 8
+            some = np.flatnonzero((np.diff(edges) > 0) & mapped(field.value, fp))
+            some = [i for i in some if (name := int(fp[i])) not in known and not known.add(name)]
+            if not some:
+                continue
+            bits = sketches(np.concatenate([h[edges[i] : edges[i + 1]] for i in some]), np.concatenate([[0], np.cumsum(np.diff(edges)[some])]))
+            for i, own in zip(some, bits):
+                held.append((int(fp[i]), data[off[i] : off[i + 1]].tobytes(), own.copy()))
+                size += off[i + 1] - off[i] + BITS // 8
             if size > FLUSH:
                 yield from batches(rows())
                 held, size, known = [], 0, set()
@@ -336,8 +360,8 @@ def texts_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     met = wanted.mapInArrow(ask, EXCHANGE).unionByName(text_columns(docs).mapInArrow(send, EXCHANGE))
     found = exchanged(met, parts).mapInArrow(pick, "fp long, text binary, " + ", ".join(f"{w} long" for w in WORDS))
-    # the checkpoint keeps partitions and order, so joins on fp move the pairs, not the texts
-    return checkpointed(found.repartition(parts, "fp").sortWithinPartitions("fp"))
+    # dealt and sorted by set for good: joins on fp move the pairs, not the texts
+    return settled(found.repartition(parts, "fp").sortWithinPartitions("fp"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -402,10 +426,31 @@ def fits(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def met_pivots(rows: DataFrame, groups: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+def spread(labelled: DataFrame) -> DataFrame:
+    """(sig, n, pairs) of the groups that are not in one component: how many sets they have, and how many
+    pairs of them are not tied."""
+    by_component = labelled.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("n"))
+    every = by_component.groupBy("sig").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("tied"))
+    return every.where("kinds > 1").select("sig", "n", ((F.col("n") * F.col("n") - F.col("tied")) / 2).alias("pairs"))
+
+
+def pivots(labelled: DataFrame, turn: int) -> DataFrame:
+    """(sig, pivots): of each group two sets, drawn by hash. In the first round one is the set with the
+    smallest part of rare shingles: in a cluster of edited copies it's nearest to the others."""
+    draw = F.hash("fp", F.lit(turn))
+    first = turn == 0
+    orders = [(F.col("rare") / F.col("size")).cast("float") if first else draw, draw]
+    drawn = [F.lit(True) if first else F.pmod(draw, F.lit(2)) == 0, F.pmod(draw, F.lit(2)) == 1]
+    rest = ["fp", "size", "need"] + ["c"] * (not first)  # at first every set is its own component
+    found = labelled.groupBy("sig").agg(*[F.min(F.when(d, F.struct(o.alias("draw"), *rest))).alias(f"p{k}") for k, (o, d) in enumerate(zip(orders, drawn))])
+    met = [F.when(F.col(p).isNotNull(), F.struct(*[F.col(f"{p}.{c}").alias(c) for c in ("fp", "size", "need")], F.col(f"{p}.{'fp' if first else 'c'}").alias("c"), F.lit(k).alias("kind"))) for k, p in enumerate(("p0", "p1"))]
+    return found.select("sig", F.array(*met).alias("pivots"))
+
+
+def met_pivots(rows: DataFrame, met: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
     """(a, b): every set with at most one pivot of each of the two kinds, not of its own component, if
     their sketches let them link."""
-    joined_ = rows.join(groups.where("low < high").select("sig", "pivots"), "sig").select("fp", "size", "need", "c", F.explode("pivots").alias("p"))
+    joined_ = rows.join(met, "sig").select("fp", "size", "need", "c", F.explode("pivots").alias("p"))
     near = joined_.where(F.col("p").isNotNull() & (F.col("p.c") != F.col("c")) & fits("size", "p.size", percent))
     counted = near.groupBy("fp", F.col("p.fp").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first(F.least("need", "p.need")).alias("need"), F.first("p.kind").alias("kind"), F.first("size").alias("size_x"), F.first("p.size").alias("size_y")).where("k >= need")
     best = counted.groupBy("fp", "kind").agg(F.max(F.struct("k", "b", "size_x", "size_y")).alias("best")).select(F.col("fp").alias("a"), "best.b", "best.size_x", "best.size_y")
@@ -429,9 +474,8 @@ def sketched(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
 def untied(rows: DataFrame, groups: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
     """(a, b), a < b: pairs of sets of one group and different components that share enough signatures
     and whose sketches let them link."""
-    rows = rows.join(groups.where("low < high").select("sig", (F.col("n") > LARGE).alias("large")), "sig").select("fp", "sig", "size", "need", "c", "large")
-    load = rows.groupBy("fp").agg(F.sum(F.col("large").cast("int")).alias("b"))
-    rows = checkpointed(rows.join(load, "fp").withColumn("spare", F.col("b") < F.col("need")))
+    rows = rows.join(groups.select("sig", (F.col("n") > LARGE).alias("large")), "sig").select("fp", "sig", "size", "need", "c", "large")
+    rows = checkpointed(rows.withColumn("b", F.sum(F.col("large").cast("int")).over(Window.partitionBy("fp"))).withColumn("spare", F.col("b") < F.col("need")))
 
     def paired(left: DataFrame, other: DataFrame, condition, more: list[str]) -> DataFrame:
         x, y = (side.select("sig", *[F.col(c).alias(f"{c}_{name}") for c in ("fp", "size", "need", "c", "b", "spare", *more)]) for name, side in (("x", left), ("y", other)))
@@ -459,29 +503,27 @@ def links(docs: DataFrame, n: int, percent: int, counts: bool = False) -> tuple[
     if not done["rows"]:
         return nothing, done
     texts = texts_of(docs, rows.select("fp").distinct(), n)
-    sketch = checkpointed(texts.select("fp", *WORDS))
+    sketch = settled(texts.select("fp", *WORDS))
     tried = None  # all verified pairs
     labelled, before = rows.withColumn("c", F.col("fp")), None
     while True:
-        draw = F.xxhash64("fp", F.lit(len(done["rounds"])))
-        # of the first round's two pivots one is the set with the smallest part of rare shingles: in a cluster
-        # of edited copies it's nearest to the others
-        order = [F.struct((F.col("rare") / F.col("size") if k == 0 and not done["rounds"] else F.lit(0.0)).alias("part"), draw.alias("draw")) for k in (0, 1)]
-        drawn = [F.lit(True) if not done["rounds"] and k == 0 else F.pmod(draw, F.lit(2)) == k for k in (0, 1)]
-        pivot = [F.min(F.when(drawn[k], F.struct(order[k].alias("draw"), "fp", "size", "need", "c", F.lit(k).alias("kind")))) for k in (0, 1)]
-        by_component = labelled.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("n"), *[p.alias(f"p{k}") for k, p in enumerate(pivot)])
-        groups = checkpointed(by_component.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("tied"), F.array(F.min("p0"), F.min("p1")).alias("pivots")))
-        left = groups.where("low < high").agg(F.sum((F.col("n") * F.col("n") - F.col("tied")) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
+        turn = len(done["rounds"])
+        groups = checkpointed(spread(labelled))
+        left = groups.agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("rows")).first()
         if counts or not left["rows"] or (before is not None and (left["pairs"] <= FAIR * left["rows"] or left["pairs"] > before / 2)):
             break
         before = left["pairs"]
-        found = checkpointed(verified(met_pivots(labelled, groups, sketch, percent), texts, n, percent))
+        # at first no group is in one component
+        some = labelled.join(groups.select("sig"), "sig", "left_semi") if turn else labelled
+        met = checkpointed(met_pivots(some, pivots(some, turn), sketch, percent))
+        found = checkpointed(verified(met, texts, n, percent))
         done["rounds"].append(found.count())
         if not done["rounds"][-1]:
             break
         tried = found if tried is None else tried.unionByName(found)
         tied = components(tried.where("link").select(F.col("a").alias("u"), F.col("b").alias("v")))
-        labelled = checkpointed(rows.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "sig", "size", "need", "rare", F.coalesce("component", "fp").alias("c")))
+        # rows stay where they are: only the labels move
+        labelled = rows.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "sig", "size", "need", "rare", F.coalesce("component", "fp").alias("c"))
     rest = untied(labelled, groups, sketch, percent)
     if tried is not None:
         rest = rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")

@@ -134,3 +134,8 @@ def test_sketches_never_rule_out_a_link():
     for a, b in r.integers(0, 1500, (500, 2)):
         apart = sum(int(x).bit_count() for x in (bits[a] ^ bits[b]).view(np.uint64))
         assert apart <= len(np.setxor1d(sets[a], sets[b])) and (a != b or apart == 0)
+
+
+def test_a_full_map_of_wanted_sets_loses_none(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MAP", 64)
+    assert components(table(spark, MIXED), 4, 85) == expected(MIXED, 4, 85)
