@@ -61,16 +61,9 @@ def _bloom_probe(spark, d):
     """Which of the probes a filter over the orders' keys may hold; probes not in it are `absent`."""
     run = logs.orders(spark, d)
     n = run.count()
-    built = {r["byte_no"]: r["byte"] for r in hashing.build(run, n).collect()}  # 10 bits a key of one run's file
-    bits = bytes(built.get(i, 0) for i in range(hashing.bloom_bytes(n)))
-    shared = spark.sparkContext.broadcast(bits)
     asked = run.select("key", F.lit(True).alias("present")).unionByName(run.select(F.concat("key", F.lit("x")).alias("key"), F.lit(False).alias("present")))
-
-    def probe(it):
-        for pdf in it:
-            yield pdf.assign(maybe=hashing.bloom_probe(shared.value, [k.encode() for k in pdf["key"]]))
-
-    return asked.mapInPandas(probe, "key string, present boolean, maybe boolean").groupBy("present").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("maybe").cast("long")).alias("maybe"))
+    maybe = hashing.maybe_held(run, n, asked, "present")  # 10 bits a key of one run's file
+    return asked.groupBy("present").agg(F.count(F.lit(1)).alias("n")).join(maybe, "present", "left").select("present", "n", F.coalesce("maybe", F.lit(0)).alias("maybe"))
 
 
 def _stream_upsert(spark, d):

@@ -111,3 +111,33 @@ def test_bloom_fits_its_run(spark):
     ones = q["kv_bloom_build"](spark, d).agg(F.sum(F.bit_count("byte"))).first()[0]
     assert 0.4 < ones / (8 * size) < 0.6  # half of the bits at 10 bits a key and 7 probes
     assert q["kv_bloom_bits"](spark, d).agg(F.max(F.array_max("bits"))).first()[0] > 0.99 * 8 * size
+
+
+def test_bloom_probe_holds_no_filter_on_the_driver(spark, monkeypatch):
+    import __spark_entry__ as e
+
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    taken, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: taken.append(collect(self)) or taken[-1])
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda bits: pytest.fail("the filter was broadcast"))
+    got = rows(e.queries()["kv_bloom_probe"](spark, "/root/testdata/sf0.01"), "present", "n", "maybe")
+    assert all(len(t) <= 2 for t in taken)  # was one row for each byte of the filter
+    keys = [f"o_{r[0]}".encode() for r in spark.read.parquet("/root/testdata/sf0.01/orders.parquet").select("o_orderkey").toLocalIterator()]
+    plain = hashing.bloom_probe(hashing.bloom_build(keys), [k + b"x" for k in keys])
+    assert got == [(False, len(keys), int(plain.sum())), (True, len(keys), len(keys))]
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 3000])
+def test_bloom_probe_over_many_segments(spark, monkeypatch, n):
+    """More segments than probes, fewer, and one; repeated keys, empty ones and such as are no ASCII."""
+    keys = [f"k{i % 2500}" if i % 9 else "" if i % 2 else f"é{i}" for i in range(n)]
+    asked = [(k, True) for k in keys] + [(k + "x", False) for k in keys]
+    bits = hashing.bloom_build([k.encode() for k in keys], n)
+    want = sorted((t, sum(hashing.bloom_probe(bits, [k.encode() for k, u in asked if u == t]).tolist())) for t in {t for _, t in asked})
+    df, asked = spark.createDataFrame([(k,) for k in keys], "key string"), spark.createDataFrame(asked, "key string, present boolean")
+    for piece, segment in ((1 << 16, 1 << 22), (64, 256), (64, 2048)):
+        monkeypatch.setattr(hashing, "PIECE", piece)
+        monkeypatch.setattr(hashing, "SEGMENT", segment)
+        monkeypatch.setattr(hashing, "GATHER", 700)
+        assert rows(hashing.maybe_held(df, n, asked, "present"), "present", "maybe") == want
