@@ -75,9 +75,30 @@ def settled(df: DataFrame) -> DataFrame:
     before = conf.get(name)
     conf.set(name, "false")
     try:
-        return checkpointed(df.select("*"))  # planned anew
+        own = df.select("*")  # planned anew
+        done = checkpointed(own)
     finally:
         conf.set(name, before)
+    unshuffled(own)
+    return done
+
+
+def unshuffled(df: DataFrame) -> None:
+    """Deletes the shuffle files of a frame whose own plan, made without adaptive execution, is not run
+    again. Spark keeps these past released(), until much of a next step is done."""
+    cleaner, left = df.sparkSession.sparkContext._jsc.sc().cleaner(), [df._jdf.queryExecution().executedPlan()]
+    while left and cleaner.isDefined():
+        node = left.pop()
+        if node.getClass().getSimpleName() == "ShuffleExchangeExec":
+            cleaner.get().doCleanupShuffle(node.shuffleDependency().shuffleId(), False)
+        below = node.children()
+        left += [below.apply(k) for k in range(below.size())]
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the files of shuffles and checkpoints that nothing refers to any more. It learns
+    of them when the driver's heap is collected, which without this may be long after they pile up."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def quoted(name: str) -> str:

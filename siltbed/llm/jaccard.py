@@ -54,7 +54,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import CHUNK, EXCHANGE, FLUSH, U, batches, blobs_by_bucket, bucket_of, buckets, checkpointed, components, distinct, document_batches, exchanged, freeze, joined, mix, nullable_ids, pack, runs, settled, shingles, text_columns, text_hash, thaw
+from siltbed.llm.common import CHUNK, EXCHANGE, FLUSH, U, batches, blobs_by_bucket, bucket_of, buckets, checkpointed, components, distinct, document_batches, exchanged, freeze, joined, mix, nullable_ids, pack, released, runs, settled, shingles, text_columns, text_hash, thaw
 
 EXTEND = 16
 #: Sets of a signature that a task sends to the signature's own bucket.
@@ -366,10 +366,14 @@ def texts_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """(a, b, link) of pairs (a, b) of sets, by their whole sets. A set b of many pairs is split by a."""
-    often = checkpointed(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("parts")))
-    left = pairs.join(often, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
-    left = left.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a")
-    right = often.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b").select("b", "tb", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    # few sets have so many pairs; of the others only the texts of a move
+    often = checkpointed(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("parts")).where("parts > 1"))
+    text_a, text_b = (texts.select(F.col("fp").alias(name), F.col("text").alias(f"t{name}")) for name in ("a", "b"))
+    met = pairs.join(often, "b", "left_anti").join(text_a, "a").join(text_b, "b").select("a", "b", "ta", "tb")
+    if not often.isEmpty():
+        left = pairs.join(often, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part")).join(text_a, "a")
+        right = often.join(text_b, "b").select("b", "tb", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        met = met.unionByName(left.join(right, ["b", "part"]).select("a", "b", "ta", "tb"))
 
     def compare(it):
         for batch in it:
@@ -398,7 +402,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
                 lo = hi
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(link)], ["a", "b", "link"])
 
-    return left.join(right, ["b", "part"]).select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long, link boolean")
+    return met.mapInArrow(compare, "a long, b long, link boolean")
 
 
 def shared_counts(h: np.ndarray, edges: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -499,11 +503,14 @@ def links(docs: DataFrame, n: int, percent: int, counts: bool = False) -> tuple[
     in the rest, and links."""
     rows = signatures(docs, n, percent)
     done = {"rows": rows.count(), "rounds": [], "rest": 0, "links": 0}
-    nothing = docs.sparkSession.createDataFrame([], "u long, v long")
+    spark = docs.sparkSession
+    released(spark)
+    nothing = spark.createDataFrame([], "u long, v long")
     if not done["rows"]:
         return nothing, done
     texts = texts_of(docs, rows.select("fp").distinct(), n)
     sketch = settled(texts.select("fp", *WORDS))
+    released(spark)
     tried = None  # all verified pairs
     labelled, before = rows.withColumn("c", F.col("fp")), None
     while True:
@@ -516,7 +523,9 @@ def links(docs: DataFrame, n: int, percent: int, counts: bool = False) -> tuple[
         # at first no group is in one component
         some = labelled.join(groups.select("sig"), "sig", "left_semi") if turn else labelled
         met = checkpointed(met_pivots(some, pivots(some, turn), sketch, percent))
+        released(spark)
         found = checkpointed(verified(met, texts, n, percent))
+        released(spark)
         done["rounds"].append(found.count())
         if not done["rounds"][-1]:
             break
@@ -524,10 +533,12 @@ def links(docs: DataFrame, n: int, percent: int, counts: bool = False) -> tuple[
         tied = components(tried.where("link").select(F.col("a").alias("u"), F.col("b").alias("v")))
         # rows stay where they are: only the labels move
         labelled = rows.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "sig", "size", "need", "rare", F.coalesce("component", "fp").alias("c"))
+        released(spark)
     rest = untied(labelled, groups, sketch, percent)
     if tried is not None:
         rest = rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     rest = checkpointed(rest)
+    released(spark)
     done["rest"] = rest.count()
     if done["rest"]:
         found = checkpointed(verified(rest, texts, n, percent))

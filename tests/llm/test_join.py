@@ -139,3 +139,33 @@ def test_sketches_never_rule_out_a_link():
 def test_a_full_map_of_wanted_sets_loses_none(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "MAP", 64)
     assert components(table(spark, MIXED), 4, 85) == expected(MIXED, 4, 85)
+
+
+def test_settled_frames_leave_no_shuffle_files(spark):
+    """Once its rows are in the checkpoint folder, the shuffles that made them go, and only they."""
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    other = spark.range(1000).repartition(3, "id").selectExpr("id", "id % 7 as k").rdd
+    other.count()
+    held = lambda: {k for k in range(newest + 50) if tracker.containsShuffle(k)}
+    newest = spark.sparkContext._jsc.sc().newShuffleId()
+    before = held()
+    df = spark.range(1000).selectExpr("id", "id % 7 as k").repartition(3, "k").groupBy("id").count()
+    done = common.settled(df.repartition(4, "id"))
+    assert held() <= before and done.count() == done.select("id").distinct().count() == 1000
+    assert done.rdd.getNumPartitions() == 4 and other.count() == 1000
+
+
+def test_sets_of_many_pairs_are_dealt_out(spark, monkeypatch):
+    """Pairs of sets on both sides of SPLIT, each verified once."""
+    texts = near_copies(60, 60, 6)
+    sets = plain.word_sets(texts, 4)
+    docs = table(spark, texts)
+    for split in (1, 4, 256):
+        monkeypatch.setattr(jaccard, "SPLIT", split)
+        names = jaccard.members(docs, 4).select("doc_id", "fp")
+        fp = {r.doc_id: r.fp for r in names.collect()}
+        pairs = sorted({(fp[i], fp[j]) for i in range(60) for j in range(8) if fp[i] != fp[j] and i % 8 <= j})
+        text_of = jaccard.texts_of(docs, names.select("fp").distinct(), 4)
+        got = sorted(map(tuple, jaccard.verified(spark.createDataFrame(pairs, "a long, b long"), text_of, 4, 85).collect()))
+        own = {fp[i]: s for i, s in enumerate(sets)}
+        assert got == [(a, b, 100 * len(own[a] & own[b]) >= 85 * len(own[a] | own[b])) for a, b in pairs]
